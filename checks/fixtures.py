@@ -23,7 +23,7 @@ def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _code(nationkey: str) -> Column:
+def code(nationkey: str) -> Column:
     return F.concat(F.lit("N"), F.lpad(F.col(nationkey).cast("string"), 2, "0"))
 
 
@@ -65,8 +65,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             HS96="1-URGENT", HS02="2-HIGH", HS07="3-MEDIUM", HS12="4-NOT SPECIFIED",
         ).alias("hs_version"),
         hs6.cast("int").alias("hs6"),
-        _code("s_nationkey").alias("exporter_iso3c"),
-        _code("c_nationkey").alias("importer_iso3c"),
+        code("s_nationkey").alias("exporter_iso3c"),
+        code("c_nationkey").alias("importer_iso3c"),
         F.col("p_name").alias("sciname"),
         F.when(unknown, "unknown").when(F.col("l_linestatus") == "O", "marine").otherwise("inland").alias("habitat"),
         F.when(unknown, "unknown").when(F.col("l_returnflag") == "A", "aquaculture").otherwise("capture").alias("method"),
@@ -92,7 +92,7 @@ def _countries(spark: SparkSession, sf_dir: str) -> DataFrame:
         _base(spark, sf_dir, "nation")
         .where(key != 24)
         .join(_base(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(key.alias("record_id"), _code("n_nationkey").alias("iso3c"), owid_region.alias("owid_region"))
+        .select(key.alias("record_id"), code("n_nationkey").alias("iso3c"), owid_region.alias("owid_region"))
     )
 
 
@@ -112,7 +112,7 @@ def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where((key != 23) | (year < 2018))
         .select(
             (key * 10000 + year).cast("long").alias("record_id"),
-            _code("c_nationkey").alias("iso3c"),
+            code("c_nationkey").alias("iso3c"),
             "year",
             (F.col("customers") * (200000 + 2000 * (year - 1995))).cast("long").alias("pop"),
         )
@@ -152,7 +152,7 @@ def tables(spark: SparkSession, sf_dir: str) -> TradeTables:
             F.col("live_weight_t").alias("consumption_live_t"),
         ),
         centroids=_base(spark, sf_dir, "nation").select(
-            _code("n_nationkey").alias("iso3"),
+            code("n_nationkey").alias("iso3"),
             F.when(F.col("n_nationkey") % 2 == 0, F.lit("adm")).otherwise(F.lit("admin1")).alias("adm1_code"),
             (F.col("n_nationkey") * 14 - 170).cast("double").alias("centroid_lon"),
             (F.col("n_nationkey") * 6 - 70).cast("double").alias("centroid_lat"),

@@ -40,6 +40,15 @@ def lookup(
     )
 
 
+def code_for_name(df: DataFrame, name: str, codes: DataFrame, code: str = "iso3c") -> DataFrame:
+    """Country codes for names, from a table of (name, iso3c).
+
+    Case and surrounding blanks do not matter; an unknown name has no code.
+    """
+    plain = codes.select(F.lower(F.trim("name")).alias("_name"), F.col("iso3c").alias("_code"))
+    return lookup(df.withColumn("_name", F.lower(F.trim(name))), plain, {"_name": "_name"}, {code: "_code"}).drop("_name")
+
+
 def full_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full join on keys of the same name; missing keys match each other."""
     a, b = left.alias("a"), right.alias("b")
