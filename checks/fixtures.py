@@ -6,21 +6,34 @@ nation imports, and each calendar quarter stands for one year.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeweave.plans.study import Study
-from tradeweave.sources.tables import TradeTables
+from tradeweave.sources import schemas
 
 LDC_CODES = ("N00", "N03", "N05", "N08", "N10", "N13")
 CENTROID_OVERRIDES = {"N07": (172.9717, 1.4518)}
 WEIGHT = "decimal(18,2)"
 
 
-def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Columns in use, declared so that no job has to look at the files first.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_returnflag string, l_linestatus string",
+}
+
+
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def code(nationkey: str) -> Column:
@@ -38,8 +51,8 @@ def _year(date: str) -> Column:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with everything the trade tables need."""
-    lineitem, orders = _base(spark, sf_dir, "lineitem"), _base(spark, sf_dir, "orders")
-    customer, supplier, part = (_base(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
+    lineitem, orders = base(spark, sf_dir, "lineitem"), base(spark, sf_dir, "orders")
+    customer, supplier, part = (base(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
     joined = (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -89,9 +102,9 @@ def _countries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Asia")
     )
     return (
-        _base(spark, sf_dir, "nation")
+        base(spark, sf_dir, "nation")
         .where(key != 24)
-        .join(_base(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(base(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(key.alias("record_id"), code("n_nationkey").alias("iso3c"), owid_region.alias("owid_region"))
     )
 
@@ -102,10 +115,10 @@ def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
     The years are one short array, so every nation is repeated per year without a
     join.
     """
-    years = _base(spark, sf_dir, "orders").agg(F.collect_set(_year("o_orderdate")).alias("years")).scalar()
+    years = base(spark, sf_dir, "orders").agg(F.collect_set(_year("o_orderdate")).alias("years")).scalar()
     key, year = F.col("c_nationkey"), F.col("year")
     return (
-        _base(spark, sf_dir, "customer")
+        base(spark, sf_dir, "customer")
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("customers"))
         .withColumn("year", F.explode(years))
@@ -119,46 +132,77 @@ def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> TradeTables:
-    lines = _lines(spark, sf_dir)
-    return TradeTables(
-        snet=lines.drop("linenumber"),
-        production=lines.select(
-            "record_id", F.col("exporter_iso3c").alias("iso3c"), "year", "sciname", "method", "habitat", "live_weight_t"
-        ),
-        countries=_countries(spark, sf_dir),
-        code_max_resolved_taxa=lines.groupBy("hs6").agg(F.min("record_id").alias("record_id")),
-        sciname=_base(spark, sf_dir, "part")
-        .groupBy(F.col("p_name").alias("sciname"))
-        .agg(F.min("p_partkey").alias("record_id"))
-        .withColumn(
-            "common_name",
-            F.when(F.col("sciname").startswith("blue"), F.concat("sciname", F.lit(" nei"))).otherwise(F.col("sciname")),
-        ),
-        population=_population(spark, sf_dir),
-        consumption=lines.select(
+class FixtureTables:
+    """The trade tables of one data folder, each set up when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._at = (spark, sf_dir)
+
+    def names(self) -> list[str]:
+        return list(schemas.TABLES)
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        return _lines(*self._at)
+
+    @cached_property
+    def snet(self) -> DataFrame:
+        return self._lines.drop("linenumber")
+
+    @cached_property
+    def production(self) -> DataFrame:
+        iso3c = F.col("exporter_iso3c").alias("iso3c")
+        return self._lines.select("record_id", iso3c, "year", "sciname", "method", "habitat", "live_weight_t")
+
+    @cached_property
+    def countries(self) -> DataFrame:
+        return _countries(*self._at)
+
+    @cached_property
+    def code_max_resolved_taxa(self) -> DataFrame:
+        return self._lines.groupBy("hs6").agg(F.min("record_id").alias("record_id"))
+
+    @cached_property
+    def sciname(self) -> DataFrame:
+        name = F.col("sciname")
+        return (
+            base(*self._at, "part")
+            .groupBy(F.col("p_name").alias("sciname"))
+            .agg(F.min("p_partkey").alias("record_id"))
+            .withColumn("common_name", F.when(name.startswith("blue"), F.concat(name, F.lit(" nei"))).otherwise(name))
+        )
+
+    @cached_property
+    def population(self) -> DataFrame:
+        return _population(*self._at)
+
+    @cached_property
+    def consumption(self) -> DataFrame:
+        domestic = F.col("dom_source") == "domestic"
+        source = F.when(domestic, F.col("importer_iso3c")).when(F.col("linenumber") == 6, F.lit("unknown"))
+        return self._lines.select(
             "record_id",
             "year",
             "hs_version",
             F.col("importer_iso3c").alias("consumer_iso3c"),
-            F.when(F.col("dom_source") == "domestic", F.col("importer_iso3c"))
-            .when(F.col("linenumber") == 6, F.lit("unknown"))
-            .otherwise(F.col("exporter_iso3c"))
-            .alias("source_country_iso3c"),
+            source.otherwise(F.col("exporter_iso3c")).alias("source_country_iso3c"),
             F.col("sciname").alias("sciname_hs_modified"),
             "habitat",
             "method",
-            F.when(F.col("dom_source") == "domestic", F.lit("domestic")).otherwise(F.lit("foreign")).alias("consumption_source"),
+            F.when(domestic, F.lit("domestic")).otherwise(F.lit("foreign")).alias("consumption_source"),
             F.col("live_weight_t").alias("consumption_live_t"),
-        ),
-        centroids=_base(spark, sf_dir, "nation").select(
+        )
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        key = F.col("n_nationkey")
+        return base(*self._at, "nation").select(
             code("n_nationkey").alias("iso3"),
-            F.when(F.col("n_nationkey") % 2 == 0, F.lit("adm")).otherwise(F.lit("admin1")).alias("adm1_code"),
-            (F.col("n_nationkey") * 14 - 170).cast("double").alias("centroid_lon"),
-            (F.col("n_nationkey") * 6 - 70).cast("double").alias("centroid_lat"),
-        ),
-    )
+            F.when(key % 2 == 0, F.lit("adm")).otherwise(F.lit("admin1")).alias("adm1_code"),
+            (key * 14 - 170).cast("double").alias("centroid_lon"),
+            (key * 6 - 70).cast("double").alias("centroid_lat"),
+        )
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
-    return Study(tables(spark, sf_dir), ldc_codes=LDC_CODES, centroid_overrides=CENTROID_OVERRIDES)
+    return Study(FixtureTables(spark, sf_dir), ldc_codes=LDC_CODES, centroid_overrides=CENTROID_OVERRIDES)

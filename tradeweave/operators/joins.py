@@ -66,12 +66,16 @@ def without_keys(df: DataFrame, keys_table: DataFrame, keys: Sequence[str]) -> D
     return df.alias("a").join(keys_table.select(*keys).alias("b"), condition, "left_anti")
 
 
-def bounded_broadcast(df: DataFrame, bound: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` if ``bound``, which is never smaller, is small.
+def fits_broadcast(bound: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a table is small enough to send to every task.
 
-    For derived tables whose size Spark cannot see before running them, but that
-    hold at most one row per row of a dimension. Only the dimension is counted,
-    and no further than the limit; beyond it the plain join is used.
+    Used where a derived table, whose size Spark cannot see before running it, holds
+    at most one row per row of a dimension: only the dimension is counted, and no
+    further than the limit.
     """
-    small = bound.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return bound.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if(fits: bool, df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table shown to fit; otherwise the plain join is used."""
+    return F.broadcast(df) if fits else df

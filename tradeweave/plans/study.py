@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.types import StringType
 from tradeweave.functions import domains as d
 from tradeweave.functions.aggregates import narm_sum, strict_sum
 from tradeweave.functions.columns import food_or_fmfo, habitat_method, hs6_text, in_regime, not_in
-from tradeweave.operators.joins import lookup
+from tradeweave.operators.joins import fits_broadcast, lookup
 from tradeweave.sources.sinks import materialise
 from tradeweave.sources.tables import TradeTables
 
@@ -56,11 +57,13 @@ class Study:
     consumption_cube: DataFrame | None = None
 
     def shared(self) -> Study:
-        return replace(
-            self,
-            trade_cube=materialise(trade_cube(self), "trade"),
-            consumption_cube=materialise(consumption_cube(self), "consumption"),
-        )
+        return self.with_shared_trade().with_shared_consumption()
+
+    def with_shared_trade(self) -> Study:
+        return replace(self, trade_cube=materialise(trade_cube(self), "trade"))
+
+    def with_shared_consumption(self) -> Study:
+        return replace(self, consumption_cube=materialise(consumption_cube(self), "consumption"))
 
     def trade(self) -> DataFrame:
         """Food trade with its source category, without regions."""
@@ -80,6 +83,11 @@ class Study:
         missing = F.col("consumption_live_t").isNull().cast("int").alias("n_missing")
         return consumption_rows(self).select(*CONSUMPTION_KEYS, "consumption_live_t", missing)
 
+    @cached_property
+    def population_fits_broadcast(self) -> bool:
+        """Looked up once: whether one row per population row may go to every task."""
+        return fits_broadcast(self.tables.population)
+
     def population(self) -> DataFrame:
         """Population by country and year with the country's region."""
         return lookup(

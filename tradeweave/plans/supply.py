@@ -19,7 +19,7 @@ from tradeweave.functions.columns import (
     percent,
 )
 from tradeweave.operators import allocation as cap
-from tradeweave.operators.joins import bounded_broadcast, lookup, without_keys
+from tradeweave.operators.joins import broadcast_if, lookup, without_keys
 from tradeweave.operators.reshape import long, stack, wide
 from tradeweave.operators.windows import group_total, order_by_measure, share_of_all, share_of_group, top_k
 from tradeweave.plans.study import Study, combine_parts, consumption_rows
@@ -38,7 +38,7 @@ def _outliers(s: Study, year: int | None = None) -> DataFrame:
     decides.
     """
     parts = s.consumption() if year is None else s.consumption().where(F.col("year") == year)
-    return bounded_broadcast(cap.outliers(parts, s.tables.population), s.tables.population)
+    return broadcast_if(s.population_fits_broadcast, cap.outliers(parts, s.tables.population))
 
 
 def consumption_outliers(s: Study) -> DataFrame:
