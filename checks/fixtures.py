@@ -6,7 +6,7 @@ nation imports, and each calendar quarter stands for one year.
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,5 +204,7 @@ class FixtureTables:
         )
 
 
+@lru_cache(maxsize=8)
 def study(spark: SparkSession, sf_dir: str) -> Study:
+    """The study over a data folder. Only plans are kept between calls, no data."""
     return Study(FixtureTables(spark, sf_dir), ldc_codes=LDC_CODES, centroid_overrides=CENTROID_OVERRIDES)

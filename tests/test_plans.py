@@ -1,11 +1,13 @@
 """Physical plans: what must never appear, and what must."""
 
+from dataclasses import replace
+
 import pytest
 
-from checks import fixtures, registry
-from tests.conftest import SMALL, optimized, plan_of
+from checks import registry
+from tests.conftest import optimized, plan_of
 from tradeweave.operators import windows
-from tradeweave.plans import pipeline, supply, trade
+from tradeweave.plans import headline, lastmile, pipeline, supply, trade
 
 # Anything that moves rows through Python, one task or the driver.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas", "BatchEvalPython")
@@ -46,7 +48,7 @@ def test_outliers_join_plainly_when_population_is_large(study, monkeypatch):
     from tradeweave.plans import study as study_module
 
     monkeypatch.setattr(study_module, "fits_broadcast", lambda *_: False)
-    fresh = fixtures.study(study.tables._at[0], SMALL)
+    fresh = replace(study)
     assert "strategy=broadcast" not in optimized(supply.consumption_percap_adjusted(fresh))
 
 
@@ -55,7 +57,17 @@ def test_supply_reads_consumption_once(study):
     assert len(scans) == 1
 
 
-@pytest.mark.parametrize("dataset", [trade.all_degree_summary, trade.trade_ts_union, trade.bilateral_habitat_method_summary])
+@pytest.mark.parametrize(
+    "dataset",
+    [
+        trade.all_degree_summary,
+        trade.trade_ts_union,
+        trade.bilateral_habitat_method_summary,
+        lastmile.region_net_import,
+        lastmile.concentration_with_total,
+        headline.dom_source_shares,
+    ],
+)
 def test_trade_is_read_once(study, dataset):
     scans = [line for line in plan_of(dataset(study)).splitlines() if "FileScan" in line and "l_orderkey" in line]
     assert len(scans) == 1

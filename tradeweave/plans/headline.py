@@ -128,15 +128,15 @@ def foreign_export_change(s: Study) -> DataFrame:
 
 
 def dom_source_shares(s: Study) -> DataFrame:
-    """Share of each origin in the year's exports, with and without errors."""
-    totals = trade.dom_source_ts(s)
-
-    def shares(df: DataFrame) -> DataFrame:
-        return share_of_group(df, ["year"], WEIGHT, "export_percent", total="total_export")
-
-    return stack_tagged(
-        {"with error": shares(totals), "no error": shares(totals.where(F.col("dom_source") != "error"))}, "basis"
-    )
+    """Share of each origin in the year's exports, with and without errors.
+
+    The few rows of the yearly totals are repeated for each basis, so trade is read
+    once.
+    """
+    both = F.array(F.lit("with error"), F.lit("no error"))
+    basis = F.when(F.col("dom_source") != "error", both).otherwise(F.array(F.lit("with error")))
+    totals = trade.dom_source_ts(s).withColumn("basis", F.explode(basis))
+    return share_of_group(totals, ["basis", "year"], WEIGHT, "export_percent", total="total_export")
 
 
 def export_share_by_dom_source(s: Study) -> DataFrame:

@@ -139,27 +139,32 @@ def clean_common_names(s: Study) -> DataFrame:
     return flows.withColumn("label", label)
 
 
+def _flow_ends(s: Study) -> DataFrame:
+    """Every regional flow once under its exporter and once under its importer."""
+    flows = trade.region_method_flows(s).drop("exporter_importer")
+    return long_split(flows, ["exporter_region", "importer_region"], ["flow", "drop"], "region", "_")
+
+
 def region_net_import(s: Study) -> DataFrame:
-    """Imports less exports of each region, matched by year and region."""
-    flows = trade.region_method_flows(s)
-    imports = flows.groupBy("year", F.col("importer_region").alias("region")).agg(
-        narm_sum(WEIGHT).alias("import_live_weight_t")
-    )
-    exports = flows.groupBy("year", F.col("exporter_region").alias("region")).agg(
-        narm_sum(WEIGHT).alias("export_live_weight_t")
-    )
-    both = lookup(
-        imports, exports, {"year": "year", "region": "region"}, {"export_live_weight_t": "export_live_weight_t"}
+    """Imports less exports of each region that imports.
+
+    Both sides come from one aggregate over the ends of the flows, not from a join.
+    """
+    imports = F.when(F.col("flow") == "importer", F.col(WEIGHT))
+    exports = F.when(F.col("flow") == "exporter", F.col(WEIGHT))
+    return (
+        _flow_ends(s)
+        .groupBy("year", "region")
+        .agg(F.sum(imports).alias("import_live_weight_t"), F.sum(exports).alias("export_live_weight_t"))
+        .where(F.col("import_live_weight_t").isNotNull())
+        .withColumn("net_import", F.col("import_live_weight_t") - F.col("export_live_weight_t"))
     )
-    return both.withColumn("net_import", F.col("import_live_weight_t") - F.col("export_live_weight_t"))
 
 
 def region_flow_totals(s: Study) -> DataFrame:
     """Exports (negative) and imports of each region per source category."""
-    flows = trade.region_method_flows(s).drop("exporter_importer")
-    ends = long_split(flows, ["exporter_region", "importer_region"], ["flow", "drop"], "region", "_")
     signed = F.when(F.col("flow") == "exporter", -F.col(WEIGHT)).otherwise(F.col(WEIGHT))
-    return ends.groupBy("flow", "year", "region", "habitat_method").agg(narm_sum(signed).alias(WEIGHT))
+    return _flow_ends(s).groupBy("flow", "year", "region", "habitat_method").agg(narm_sum(signed).alias(WEIGHT))
 
 
 def abbreviated_regions(s: Study) -> DataFrame:

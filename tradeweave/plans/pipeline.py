@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -141,15 +142,16 @@ DATASETS: dict[str, Dataset] = {**TRADE, **SUPPLY, **LASTMILE, **HEADLINE}
 DETAIL = ("prod", "trade_nonfood", "consumption_scaled", "consumption_percap_adjusted")
 
 
-def run(s: Study, out: str, names: Iterable[str] | None = None, csv: bool = False) -> dict[str, str]:
+def run(s: Study, out: str, names: Iterable[str] | None = None, csv: bool = False, at_once: int = 8) -> dict[str, str]:
     """Write datasets under ``out``; returns the path of each.
 
     The two large facts are aggregated and written once, and all other datasets
-    read those. Parquet by default; with ``csv`` the aggregated ones become CSV.
+    read those. As most are small, several are computed at once. Parquet by
+    default; with ``csv`` the aggregated ones become CSV.
     """
     shared = s.shared()
-    paths = {}
-    for name in DATASETS if names is None else names:
+
+    def write(name: str) -> str:
         path = f"{out}/{name}"
         if name in DETAIL:
             write_parquet(DATASETS[name](shared), path, partition_by=["year"])
@@ -157,5 +159,8 @@ def run(s: Study, out: str, names: Iterable[str] | None = None, csv: bool = Fals
             write_csv(DATASETS[name](shared), path)
         else:
             write_parquet(DATASETS[name](shared), path)
-        paths[name] = path
-    return paths
+        return path
+
+    chosen = list(DATASETS if names is None else names)
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(chosen, pool.map(write, chosen)))

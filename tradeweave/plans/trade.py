@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.functions import domains as d
-from tradeweave.functions.aggregates import narm_sum, strict_sum, sum_where, year_slope
+from tradeweave.functions.aggregates import narm_sum, strict_sum, year_slope
 from tradeweave.functions.columns import (
     habitat_method,
     in_regime,
@@ -24,8 +24,8 @@ from tradeweave.functions.columns import (
 from tradeweave.operators.concentration import concentration, n_below
 from tradeweave.operators.joins import lookup
 from tradeweave.operators.network import degrees
-from tradeweave.operators.reshape import stack_tagged, wide
-from tradeweave.operators.windows import average_rank, order_by_measure, top_k
+from tradeweave.operators.reshape import wide
+from tradeweave.operators.windows import average_rank, group_total, order_by_measure, top_k
 from tradeweave.plans.study import Study, add_regions, fishmeal_rows
 
 WEIGHT = "live_weight_t"
@@ -97,20 +97,42 @@ def percent_export_by_source(s: Study) -> DataFrame:
 def percent_export_total(s: Study) -> DataFrame:
     """Share of production exported per year, domestic origin only and all origins.
 
-    The domestic share is missing in years with an unmatched category.
+    The domestic share is missing in years with an unmatched category. Both shares
+    come from one pass over trade and one over production: everything after the
+    first sums is a few rows per year.
     """
-    domestic = (
-        _domestic_with_production(s)
-        .groupBy("year")
-        .agg(strict_sum("dom_live_weight_t").alias("exported"), strict_sum("production_t").alias("produced"))
+    domestic = F.when(F.col("dom_source") == "domestic", F.col(WEIGHT))
+    exports = s.trade().groupBy("year", "habitat_method", "environment").agg(
+        F.sum(domestic).alias("domestic"), strict_sum(WEIGHT).alias("everything")
+    )
+    exports = group_total(exports, ["year"], "everything", "everything_year")
+    production = prod_by_source(s)
+    matched = lookup(
+        exports,
+        production,
+        {"year": "year", "habitat_method": "habitat_method"},
+        {"production_t": "production_t"},
+        null_safe=["habitat_method"],
     )
-    produced = s.tables.production.groupBy("year").agg(narm_sum(WEIGHT).alias("produced"))
-    everything = lookup(
-        _sum(s.trade(), "year").withColumnRenamed(WEIGHT, "exported"), produced, {"year": "year"}, {"produced": "produced"}
+    exported, produced = F.col("domestic"), F.when(F.col("domestic").isNotNull(), F.col("production_t"))
+    yearly = matched.groupBy("year").agg(
+        F.sum(exported).alias("domestic"),
+        F.when(F.count(exported) == F.count(produced), F.sum(produced)).alias("domestic_production"),
+        F.max("everything_year").alias("everything"),
     )
-    return stack_tagged({"domestic exports": domestic, "all export sources": everything}, "calc_type").select(
-        "year", percent("exported", "produced").alias("percent_export"), "calc_type"
+    totals = production.groupBy("year").agg(strict_sum("production_t").alias("production_t"))
+    yearly = lookup(yearly, totals, {"year": "year"}, {"production": "production_t"})
+
+    def series(calc_type: str, part: str, whole: str) -> Column:
+        return F.struct(percent(part, whole).alias("percent_export"), F.lit(calc_type).alias("calc_type"))
+
+    both = F.array_compact(
+        F.array(
+            F.when(F.col("domestic").isNotNull(), series("domestic exports", "domestic", "domestic_production")),
+            series("all export sources", "everything", "production"),
+        )
     )
+    return yearly.select("year", F.explode(both).alias("series")).select("year", "series.*")
 
 
 # -- network -------------------------------------------------------------------
