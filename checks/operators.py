@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradeweave.functions import columns as c
 from tradeweave.functions import domains as d
 from tradeweave.functions.aggregates import narm_sum, strict_sum, sum_where, year_slope
-from tradeweave.operators import allocation, joins, network, reshape, windows
+from tradeweave.operators import joins, network, reshape, windows
 from tradeweave.plans import headline, lastmile, study, supply, trade
 from tradeweave.plans.study import Study
 from tradeweave.sources import sinks
@@ -306,8 +306,7 @@ def join_outlier_detail(s):
 
 @operator
 def anti_outliers(s):
-    regular = joins.without_keys(study.consumption_rows(s), supply.consumption_outliers(s), allocation.KEYS)
-    return _count(regular, "consumer_iso3c", "year")
+    return _count(supply.regular_consumption(s), "consumer_iso3c", "year")
 
 
 @operator

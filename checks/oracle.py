@@ -483,7 +483,7 @@ same("global_max", "axis_limits")
 table("sciname_totals", "common_name flow habitat_method consumption_live_t:d", "species_sums")
 add(
     "clean_common_names",
-    "common_name habitat_method consumption_live_t:d flow region label",
+    "common_name habitat_method consumption_live_t:d flow region label region_label",
     f"""SELECT *, replace(CASE
       WHEN habitat_method = 'marine capture' THEN CASE common_name
         WHEN 'alaska pollock(=walleye poll.)' THEN 'alaska pollock' WHEN 'ray-finned fishes' THEN 'ray finned fishes'
@@ -496,7 +496,9 @@ add(
         WHEN 'ray-finned fishes' THEN 'ray finned fishes' WHEN 'striped catfish' THEN chr(10) || 'striped catfish'
         WHEN 'freshwater siluroids' THEN chr(10) || 'freshwater siluroids'
         WHEN 'nile tilapia' THEN chr(10) || 'nile tilapia' ELSE replace(common_name, ' nei', '') END
-      END, ' ', chr(10)) AS label
+      END, ' ', chr(10)) AS label,
+      CASE WHEN habitat_method = 'inland aquaculture' THEN replace(replace(region, 'North ', 'N. '), 'South ', 'S. ')
+        ELSE region END AS region_label
     FROM species_long WHERE habitat_method IN {LEVELS}""",
 )
 table("abbreviate_regions", "exporter_region importer_region habitat method year live_weight_t:d", "short_regions")

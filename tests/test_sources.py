@@ -6,7 +6,7 @@ from tests.conftest import SMALL, plan_of
 from tradeweave.plans import trade
 from tradeweave.plans.study import Study, code_in
 from tradeweave.sources import schemas, sinks
-from tradeweave.sources.tables import TradeTables, list_tables, read_csv, regime_predicates, row_counts
+from tradeweave.sources.tables import TradeTables, list_tables, read_csv, row_counts, versions_by_jdbc
 
 
 @pytest.fixture(scope="module")
@@ -63,11 +63,38 @@ def test_csv_keeps_missing_values(spark, tmp_path):
     assert "NA" in text and text.startswith("i,s,x")
 
 
-def test_database_predicates_cover_every_year_once():
-    predicates = regime_predicates()
-    assert len(predicates) == len(set(predicates)) == 25
-    assert predicates[0] == "hs_version = 'HS96' AND year = 1996"
-    assert predicates[-1] == "hs_version = 'HS12' AND year = 2020"
+class _Reader:
+    """Records what a database reader is asked for; there is no database here."""
+
+    def __init__(self):
+        self.calls = {}
+
+    def jdbc(self, url, name, **options):
+        self.calls[name] = options
+        return name
+
+    def format(self, kind):
+        return self
+
+    def options(self, **options):
+        self.calls["options"] = options
+        return self
+
+    def load(self):
+        return "loaded"
+
+
+def test_large_database_tables_are_read_by_year():
+    class session:
+        read = _Reader()
+
+    TradeTables.from_jdbc(session, "jdbc:postgresql:trade", {"user": "u"})
+    calls = session.read.calls
+    assert set(calls) == set(schemas.TABLES)
+    assert {n for n, o in calls.items() if "numPartitions" in o} == {"snet", "production", "consumption"}
+    assert calls["snet"]["column"] == "year" and calls["snet"]["numPartitions"] == 25
+    versions_by_jdbc(session, "jdbc:postgresql:trade", {"user": "u"})
+    assert "GROUP BY year, hs_version" in calls["options"]["query"]
 
 
 def test_shared_folder_is_the_configured_one(spark, tmp_path):

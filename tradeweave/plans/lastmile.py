@@ -130,13 +130,15 @@ def axis_limits(s: Study) -> DataFrame:
 
 
 def clean_common_names(s: Study) -> DataFrame:
-    """Leading species with the name shown on the chart of their category."""
+    """Leading species with the names shown on the chart of their category. One chart
+    also shortens the regions."""
     flows = supply.top_scinames_source_consumer(s).where(F.col("habitat_method").isin(*d.FOUR_SOURCES))
     label = F.lit(None).cast("string")
     for source, labels in d.SPECIES_LABELS.items():
         shown = chart_name("common_name", labels, source in d.DROP_NEI_SOURCES)
         label = F.when(F.col("habitat_method") == source, shown).otherwise(label)
-    return flows.withColumn("label", label)
+    short = F.when(F.col("habitat_method") == "inland aquaculture", abbreviate_region("region", dot=". "))
+    return flows.withColumns({"label": label, "region_label": short.otherwise(F.col("region"))})
 
 
 def _flow_ends(s: Study) -> DataFrame:

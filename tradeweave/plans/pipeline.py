@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from tradeweave.functions.domains import FOUR_SOURCES
 from tradeweave.plans import headline, lastmile, study, supply, trade
 from tradeweave.plans.study import Study
-from tradeweave.sources.sinks import write_csv, write_parquet
+from tradeweave.sources.sinks import materialise, write_csv, write_parquet
 
 Dataset = Callable[[Study], DataFrame]
 
@@ -145,11 +146,12 @@ DETAIL = ("prod", "trade_nonfood", "consumption_scaled", "consumption_percap_adj
 def run(s: Study, out: str, names: Iterable[str] | None = None, csv: bool = False, at_once: int = 8) -> dict[str, str]:
     """Write datasets under ``out``; returns the path of each.
 
-    The two large facts are aggregated and written once, and all other datasets
-    read those. As most are small, several are computed at once. Parquet by
+    The two large facts are aggregated and written once, then supply, which many
+    datasets start from; all others read those. As most are small, several are computed at once. Parquet by
     default; with ``csv`` the aggregated ones become CSV.
     """
     shared = s.shared()
+    shared = replace(shared, supply_table=materialise(supply.supply(shared), "supply"))
 
     def write(name: str) -> str:
         path = f"{out}/{name}"

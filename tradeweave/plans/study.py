@@ -55,6 +55,7 @@ class Study:
     custom_series_label: str = "Custom time series"
     trade_cube: DataFrame | None = None
     consumption_cube: DataFrame | None = None
+    supply_table: DataFrame | None = None
 
     def shared(self) -> Study:
         return self.with_shared_trade().with_shared_consumption()

@@ -197,6 +197,8 @@ def _supply_parts(s: Study) -> DataFrame:
 
 def supply(s: Study) -> DataFrame:
     """Supply of each country by source category and year, split by origin."""
+    if s.supply_table is not None:
+        return s.supply_table
     label = consumption_source_label("consumption_source")
     totals = (
         _supply_parts(s)
@@ -307,12 +309,15 @@ def consumption_foreign(s: Study) -> DataFrame:
     )
 
 
+def regular_consumption(s: Study) -> DataFrame:
+    """Rows of consumer-years that are not outliers."""
+    return without_keys(consumption_rows(s), _outliers(s), cap.KEYS)
+
+
 def adjusted_by_union(s: Study) -> DataFrame:
     """Rows of regular consumer-years stacked on the corrected rows of the others.
 
     The two-step form of the cap, for checking one against the other.
     """
-    rows = consumption_rows(s)
     label = F.concat_ws("_", "consumer_iso3c", "year")
-    regular = without_keys(rows, _outliers(s), cap.KEYS).withColumn("consumer_year", label)
-    return stack(regular, consumption_scaled(s))
+    return stack(regular_consumption(s).withColumn("consumer_year", label), consumption_scaled(s))

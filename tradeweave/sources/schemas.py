@@ -74,3 +74,6 @@ TABLES = {
 # Tables laid out by product-code version and year, so that reading one version
 # per year range opens only the matching folders.
 PARTITIONED = {"snet": ("hs_version", "year"), "consumption": ("hs_version", "year")}
+
+# Tables large enough to be read from a database in parallel.
+BY_YEAR = ("snet", "production", "consumption")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tradeweave.functions.domains import REGIMES
 from tradeweave.sources import schemas
 
+# Years of the authoritative versions, the ranges a database is read by.
+FIRST_YEAR, LAST_YEAR = REGIMES[0][1], REGIMES[-1][2] + 1
+
 CSV_OPTIONS = {"header": True, "nullValue": "NA"}
 
 
@@ -41,14 +44,15 @@ class TradeTables:
     def from_jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str]) -> TradeTables:
         """Tables in a database.
 
-        The two large regime tables are read with one query per version and year,
-        in parallel. Aggregates over ``snet`` of all versions are pushed down to
-        the database, see ``versions_by_jdbc``.
+        The large tables are read by ranges of years, in parallel; the first and the
+        last range are open, so no row is left out. Filters on plain columns, such as
+        the regime filter, become part of each range's query.
         """
 
         def read(name: str) -> DataFrame:
-            if name in schemas.PARTITIONED:
-                return spark.read.jdbc(url, name, predicates=regime_predicates(), properties=properties)
+            if name in schemas.BY_YEAR:
+                ranges = {"column": "year", "lowerBound": FIRST_YEAR, "upperBound": LAST_YEAR}
+                return spark.read.jdbc(url, name, **ranges, numPartitions=LAST_YEAR - FIRST_YEAR, properties=properties)
             return spark.read.jdbc(url, name, properties=properties)
 
         return cls(**{name: read(name) for name in schemas.TABLES})
@@ -57,19 +61,12 @@ class TradeTables:
         return [f.name for f in fields(self)]
 
 
-def regime_predicates() -> list[str]:
-    """One SQL condition per (version, year); together they are the regime filter."""
-    return [
-        f"hs_version = '{version}' AND year = {year}"
-        for version, first, last in REGIMES
-        for year in range(first, last + 1)
-    ]
-
-
 def versions_by_jdbc(spark: SparkSession, url: str, properties: dict[str, str]) -> DataFrame:
     """Product weight by year and version, summed inside the database."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable="snet", pushDownAggregate="true", **properties)
-    return reader.load().groupBy("year", "hs_version").agg(F.sum("product_weight_t").alias("product_weight_t"))
+    query = (
+        "SELECT year, hs_version, SUM(product_weight_t) AS product_weight_t FROM snet GROUP BY year, hs_version"
+    )
+    return spark.read.format("jdbc").options(url=url, query=query, **properties).load()
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
