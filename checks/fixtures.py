@@ -6,7 +6,7 @@ nation imports, and each calendar quarter stands for one year.
 
 from __future__ import annotations
 
-from functools import cached_property, lru_cache, reduce
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,10 @@ def code(nationkey: str) -> Column:
 
 def _choose(c: Column, otherwise, **cases) -> Column:
     """First matching equality; ``cases`` maps results to values."""
-    return reduce(lambda rest, kv: F.when(c == kv[1], F.lit(kv[0])).otherwise(rest), cases.items(), otherwise)
+    chain = F
+    for result, value in cases.items():
+        chain = chain.when(c == value, F.lit(result))
+    return chain.otherwise(otherwise)
 
 
 def _year(date: str) -> Column:

@@ -184,7 +184,7 @@ def case_when(s):
 
 @operator
 def food_or_fmfo(s):
-    return _count(study.pad_codes(s.tables.snet), "hs6", c.food_or_fmfo("hs6").alias("food_or_fmfo"))
+    return _count(study.pad_codes(s.tables.snet), "hs6", c.food_or_fmfo(F.col("hs6") == d.FISHMEAL_CODE).alias("food_or_fmfo"))
 
 
 @operator

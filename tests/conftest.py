@@ -16,7 +16,9 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return compare.session("4")
+    spark = compare.session("4")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    return spark
 
 
 @pytest.fixture(scope="session")

@@ -46,7 +46,7 @@ def test_code_is_padded_at_five_characters_only(spark):
 
 def test_fishmeal_flag_keeps_missing(spark):
     df = texts(spark, "230120", "030211", None)
-    assert values(df, c.food_or_fmfo("x")) == ["fishmeal", "nonfishmeal", None]
+    assert values(df, c.food_or_fmfo(F.col("x") == d.FISHMEAL_CODE)) == ["fishmeal", "nonfishmeal", None]
 
 
 def test_level_order_and_restriction(spark):

@@ -25,10 +25,18 @@ def test_regime_filter_prunes_partitions_and_columns(spark, stored):
     plan = plan_of(trade.export_by_source(s))
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "PartitionFilters: [((" in scan and "HS96" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    pushed = scan.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert "IsNotNull(product_weight_t)" in pushed and "GreaterThanOrEqual(live_weight_t,0.10)" in pushed
     schema = scan.split("ReadSchema")[1]
     assert "exporter_iso3c" not in schema and "record_id" not in schema
 
 
+def test_source_filter_reaches_the_scan(spark, stored):
+    s = Study(TradeTables.from_parquet(spark, stored))
+    pushed = plan_of(trade.top_exporters_new(s)).split("PushedFilters")[1].split("ReadSchema")[0]
+    assert "In(habitat, [inland,marine])" in pushed and "In(method, [aquaculture,capture])" in pushed
+
+
 def test_stored_tables_give_the_same_result(spark, stored, study):
     s = Study(TradeTables.from_parquet(spark, stored))
     a, b = trade.export_concentration_n_countries(s), trade.export_concentration_n_countries(study)

@@ -25,7 +25,12 @@ def as_col(c: ColumnLike) -> Column:
 
 def not_in(c: ColumnLike, values: Iterable) -> Column:
     """Complement of ``isin`` that keeps missing values."""
-    return ~F.coalesce(as_col(c).isin(list(values)), F.lit(False))
+    return is_not_true(as_col(c).isin(list(values)))
+
+
+def is_not_true(condition: Column) -> Column:
+    """Negation under which an undecided condition counts as false."""
+    return ~F.coalesce(condition, F.lit(False))
 
 
 def restrict_to(c: ColumnLike, levels: Iterable[str]) -> Column:
@@ -43,13 +48,28 @@ def level_order(c: ColumnLike, levels: Iterable[str]) -> Column:
 def habitat_method(habitat: ColumnLike, method: ColumnLike, fold_unknown: bool = True) -> Column:
     """Habitat and method as one category.
 
-    With ``fold_unknown`` anything containing "unknown" becomes that single level;
-    without it, such combinations are outside the domain and become missing.
+    With ``fold_unknown`` a part containing "unknown" makes the whole that single
+    level; other combinations outside the domain become missing. Plain comparisons
+    of the two columns: no text is built per row.
+    """
+    habitat, method = as_col(habitat), as_col(method)
+    category = F
+    if fold_unknown:
+        category = F.when(habitat.contains(d.UNKNOWN) | method.contains(d.UNKNOWN), F.lit(d.UNKNOWN))
+    for source in d.FOUR_SOURCES:
+        h, m = source.split(" ")
+        category = category.when((habitat == h) & (method == m), F.lit(source))
+    return category
+
+
+def has_known_source(habitat: ColumnLike, method: ColumnLike) -> Column:
+    """Whether the category is one of the four known ones.
+
+    The same rows as a test of the category, but each column is compared once, so the
+    test stays small and reaches the scan.
     """
-    text = habitat_method_text(habitat, method)
-    if not fold_unknown:
-        return restrict_to(text, d.FOUR_SOURCES)
-    return F.when(text.contains(d.UNKNOWN), F.lit(d.UNKNOWN)).otherwise(restrict_to(text, d.FOUR_SOURCES))
+    habitats, methods = zip(*(source.split(" ") for source in d.FOUR_SOURCES))
+    return as_col(habitat).isin(*dict.fromkeys(habitats)) & as_col(method).isin(*dict.fromkeys(methods))
 
 
 def habitat_method_text(habitat: ColumnLike, method: ColumnLike) -> Column:
@@ -85,10 +105,9 @@ def in_year_groups(year: ColumnLike) -> Column:
     return year.between(*d.BEGINNING_YEARS) | year.between(*d.END_YEARS)
 
 
-def food_or_fmfo(hs6: ColumnLike) -> Column:
-    """Fishmeal or not; a missing code stays missing."""
-    hs6 = as_col(hs6)
-    return F.when(hs6 == d.FISHMEAL_CODE, F.lit("fishmeal")).when(hs6 != d.FISHMEAL_CODE, F.lit("nonfishmeal"))
+def food_or_fmfo(is_fishmeal: Column) -> Column:
+    """Label of a test for fishmeal; an undecided test stays missing."""
+    return F.when(is_fishmeal, F.lit("fishmeal")).when(~is_fishmeal, F.lit("nonfishmeal"))
 
 
 def ldc_flag(iso3c: ColumnLike, codes: Iterable[str] = d.LDC_CODES) -> Column:

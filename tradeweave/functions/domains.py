@@ -4,6 +4,8 @@ Everything here has to equal what published results use, so it is kept as plain
 text in one place.
 """
 
+from decimal import Decimal
+
 # Source categories, in presentation order.
 FOUR_SOURCES = (
     "marine capture",
@@ -36,8 +38,9 @@ OTHER_REGION = "Other nei"
 # Node order of the regional flow diagrams (abbreviated region names).
 FLOW_NODE_ORDER = ("Europe", "Oceania", "Asia", "S.America", "N.America", "Africa")
 
-# Smallest flow kept, in tonnes.
-MIN_WEIGHT_T = 0.1
+# Smallest flow kept, in tonnes. As a decimal it compares with fixed-point columns
+# without converting them, which lets the scan skip rows.
+MIN_WEIGHT_T = Decimal("0.1")
 
 # Share of the market whose members are counted.
 CONCENTRATION_PERCENT = 75

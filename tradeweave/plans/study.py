@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from tradeweave.functions import domains as d
 from tradeweave.functions.aggregates import narm_sum, strict_sum
-from tradeweave.functions.columns import food_or_fmfo, habitat_method, hs6_text, in_regime, not_in
+from tradeweave.functions.columns import food_or_fmfo, habitat_method, has_known_source, hs6_text, in_regime, is_not_true
 from tradeweave.operators.joins import fits_broadcast, lookup
 from tradeweave.sources.sinks import materialise
 from tradeweave.sources.tables import TradeTables
@@ -77,6 +77,10 @@ class Study:
         """Trade known not to be fishmeal; a missing product code is dropped."""
         return self.trade().where(F.col("food_or_fmfo") == "nonfishmeal")
 
+    def sourced_trade(self) -> DataFrame:
+        """Edible trade of the four known source categories."""
+        return self.edible_trade().where(has_known_source("environment", "method"))
+
     def consumption(self) -> DataFrame:
         """Consumption weights with the number of missing weights they stand for."""
         if self.consumption_cube is not None:
@@ -110,11 +114,8 @@ def code_in(df: DataFrame, codes: Sequence[str], column: str = "hs6") -> Column:
 
 def weighed_rows(study: Study) -> DataFrame:
     """Trade of the authoritative versions with both weights present."""
-    return (
-        study.tables.snet.where(in_regime("hs_version", "year"))
-        .na.drop(subset=["live_weight_t", "product_weight_t"])
-        .drop("record_id")
-    )
+    both = F.col("live_weight_t").isNotNull() & F.col("product_weight_t").isNotNull()
+    return study.tables.snet.where(in_regime("hs_version", "year") & both).drop("record_id")
 
 
 def pad_codes(df: DataFrame) -> DataFrame:
@@ -135,19 +136,22 @@ def fishmeal_rows(study: Study) -> DataFrame:
     return pad_codes(rows.where(code_in(rows, [d.FISHMEAL_CODE])))
 
 
+def _food(study: Study) -> DataFrame:
+    """Everything but the non-food codes; a missing code stays. Codes as stored."""
+    rows = weighed_rows(study)
+    return rows.where(is_not_true(code_in(rows, d.NONFOOD_CODES)))
+
+
 def food_rows(study: Study) -> DataFrame:
-    """Everything but the non-food codes; a missing code stays."""
-    rows = coded_trade(study)
-    return rows.where(not_in("hs6", d.NONFOOD_CODES))
+    return pad_codes(_food(study))
 
 
 def food_trade(study: Study) -> DataFrame:
-    return (
-        food_rows(study)
-        .where(F.col("live_weight_t") >= d.MIN_WEIGHT_T)
-        .withColumnRenamed("habitat", "environment")
+    rows = _food(study).where(F.col("live_weight_t") >= d.MIN_WEIGHT_T)
+    return pad_codes(
+        rows.withColumnRenamed("habitat", "environment")
         .withColumn("habitat_method", habitat_method("environment", "method"))
-        .withColumn("food_or_fmfo", food_or_fmfo("hs6"))
+        .withColumn("food_or_fmfo", food_or_fmfo(code_in(rows, [d.FISHMEAL_CODE])))
     )
 
 

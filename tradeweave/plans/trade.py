@@ -162,8 +162,8 @@ def concentration_n_countries(s: Study, member: str) -> DataFrame:
 
 
 def concentration_n_countries_by_source(s: Study, member: str) -> DataFrame:
-    counts = n_below(country_concentration(s, member), ["year", "habitat_method"])
-    return counts.where(F.col("habitat_method") != d.UNKNOWN)
+    by = ["year", "habitat_method"]
+    return n_below(concentration(s.sourced_trade(), by, member), by)
 
 
 def export_concentration(s: Study) -> DataFrame:
@@ -261,23 +261,19 @@ def _ranked(df: DataFrame, country: str) -> DataFrame:
     )
 
 
-def _yearly(df: DataFrame, years: Sequence[int]) -> DataFrame:
-    return df.where(F.col("year").between(*years) & (F.col("habitat_method") != d.UNKNOWN))
-
-
 def top_by_origin(s: Study, country: str, years: Sequence[int]) -> DataFrame:
     """Ten largest countries per category with their domestic and foreign weight.
 
     Products of erroneous origin have a column of their own and do not count.
     """
-    trade = _yearly(s.edible_trade(), years)
+    trade = s.sourced_trade().where(F.col("year").between(*years))
     average = narm_sum(WEIGHT).cast("double") / F.lit(d.WINDOW_DIVISOR)
     totals = wide(trade, [country, "habitat_method"], "dom_source", d.DOM_SOURCES, average, fill=0)
     return _ranked(totals.withColumn(WEIGHT, F.col("domestic") + F.col("foreign")), country)
 
 
 def top_by_total(s: Study, country: str, years: Sequence[int]) -> DataFrame:
-    trade = _yearly(s.edible_trade(), years)
+    trade = s.sourced_trade().where(F.col("year").between(*years))
     average = narm_sum(WEIGHT).cast("double") / F.lit(d.WINDOW_DIVISOR)
     return _ranked(trade.groupBy(country, "habitat_method").agg(average.alias(WEIGHT)), country)
 
@@ -322,14 +318,14 @@ def dom_source_by_habitat_method(s: Study) -> DataFrame:
     )
 
 
-def _with_ldc_groups(s: Study) -> DataFrame:
-    return s.edible_trade().withColumns(
+def _with_ldc_groups(s: Study, trade: DataFrame) -> DataFrame:
+    return trade.withColumns(
         {"exporter_ldc": ldc_flag(EXPORTER, s.ldc_codes), "importer_ldc": ldc_flag(IMPORTER, s.ldc_codes)}
     )
 
 
 def ldc_habitat_method_summary(s: Study) -> DataFrame:
-    return _sum(_with_ldc_groups(s), "year", "exporter_ldc", "importer_ldc", "habitat_method")
+    return _sum(_with_ldc_groups(s, s.edible_trade()), "year", "exporter_ldc", "importer_ldc", "habitat_method")
 
 
 def ldc_net_habitat_method_summary(s: Study) -> DataFrame:
@@ -338,8 +334,7 @@ def ldc_net_habitat_method_summary(s: Study) -> DataFrame:
     inward = (F.col("importer_ldc") == "LDC") & (F.col("exporter_ldc") == "non-LDC")
     outward = (F.col("importer_ldc") == "non-LDC") & (F.col("exporter_ldc") == "LDC")
     return (
-        _with_ldc_groups(s)
-        .where((F.col("habitat_method") != d.UNKNOWN) & (inward | outward))
+        _with_ldc_groups(s, s.sourced_trade())
         .groupBy("year", "habitat_method")
         .agg(
             F.sum(F.when(inward, F.col(WEIGHT))).alias("ldc_import"),
