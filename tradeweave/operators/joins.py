@@ -70,10 +70,9 @@ def fits_broadcast(bound: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool
     """Whether a table is small enough to send to every task.
 
     Used where a derived table, whose size Spark cannot see before running it, holds
-    at most one row per row of a dimension: only the dimension is counted, and no
-    further than the limit.
+    at most one row per row of a dimension: only the dimension is counted.
     """
-    return bound.limit(max_rows + 1).count() <= max_rows
+    return bound.count() <= max_rows
 
 
 def broadcast_if(fits: bool, df: DataFrame) -> DataFrame:

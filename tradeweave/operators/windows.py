@@ -79,11 +79,15 @@ def order_by_measure(by: Sequence[str], *order: ColumnLike) -> Column:
 
 
 def rows_at_max(df: DataFrame, value: str) -> DataFrame:
-    """Every row that holds the largest value of the column."""
-    return df.where(F.col(value) == df.agg(F.max(value).alias("top")).scalar())
+    """Every row that holds the largest value of the column.
 
-
-def rows_at_min(df: DataFrame, value: str) -> DataFrame:
-    return df.where(F.col(value) == df.agg(F.min(value).alias("low")).scalar())
+    Ranked rather than compared with a maximum worked out on its own, which for
+    sums of doubles might differ in the last digit.
+    """
+    return top_k(df.where(F.col(value).isNotNull()), [], value, 1)
 
 
+def rows_at_min(df: DataFrame, value: str) -> DataFrame:
+    place = F.rank().over(_group([]).orderBy(F.col(value)))
+    ranked = df.where(F.col(value).isNotNull()).withColumn("_place", place)
+    return ranked.where(F.col("_place") <= 1).drop("_place")
