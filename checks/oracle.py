@@ -5,7 +5,6 @@ from __future__ import annotations
 from checks.oracle_tables import (
     LEVELS,
     NONFOOD,
-    OPEN_REGIME,
     REGIME,
     category,
     padded,
