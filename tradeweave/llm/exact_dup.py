@@ -7,7 +7,7 @@ taken only of texts whose length and prefix are shared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweave.llm.scratch import Scratch
@@ -79,6 +79,20 @@ def duplicate_groups(docs: DataFrame, with_hash: bool = False, scratch: Scratch
     )
 
 
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all its columns.
+
+    Rows without doc_id stay only where no row of their group has one.
+    """
+    kept = duplicate_groups(docs, with_hash=True).where("kept").select(
+        F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("_row")
+    )
+    keyed = docs.withColumn("_key", F.struct(docs["doc_id"].alias("i"), sha256(normalised(docs["text"])).alias("h")))
+    one = Window.partitionBy("_key").orderBy(F.lit(0))
+    stay = keyed.join(kept, F.col("_key") == F.col("_row"), "left_semi").withColumn("_n", F.row_number().over(one))
+    return stay.where("_n = 1").select(*docs.columns)
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equals."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -110,6 +110,20 @@ def mix(
     )
 
 
+def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
+    """Every row as often as the mix takes it, with all its columns."""
+    mixed = mix(docs, **settings)
+    key = F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"))
+    mixed = mixed.select(key.alias("_a"), "copies")
+    mixed = mixed.withColumn("_i", F.row_number().over(Window.partitionBy("_a").orderBy("copies")))
+    own = F.struct(docs["doc_id"].alias("d"), docs["source"].alias("s"), size_of(docs["text"]).alias("n"))
+    rows = docs.withColumn("_b", own)
+    # rows alike in id, source and size are told apart by their place
+    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("text"))))
+    taken = rows.join(mixed.where("copies > 0"), (F.col("_a") == F.col("_b")) & (F.col("_i") == F.col("_j")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
 def op3_mix(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

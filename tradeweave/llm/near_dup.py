@@ -288,6 +288,15 @@ def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int,
     )
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the documents that stay, one of each component, with all columns.
+
+    Rows that repeat a doc_id stay together if one of them does.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_stays"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+
+
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     """Every document with its component of near duplicates."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)

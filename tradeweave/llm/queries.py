@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from tradeweave.llm import (
     exact_dup,
+    language,
+    licences,
     mixing,
     near_dup,
     packing,
     simple8b,
+    toxicity,
+    vectors,
+    warc,
 )
 
 QUERIES = {
     "op1_minhash": near_dup.op1_minhash,
+    "op2_language": language.op2_language,
     "op3_mix": mixing.op3_mix,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_files": simple8b.op6_token_files,
     "op7_exact_dedup": exact_dup.op7_exact_dedup,
+    "op8_warc": warc.op8_warc,
+    "op9_embeddings": vectors.op9_embeddings,
+    "op10_licences": licences.op10_licences,
 }
 
 SQL = {
     "op3_mix": mixing.SQL,
     "op7_exact_dedup": exact_dup.SQL,
+    "op8_warc": warc.SQL,
 }
