@@ -16,12 +16,17 @@ import numpy as np
 
 IDS = np.dtype("<u4")
 #: Entries of a worker's word table, after which most are given up; bounds its memory.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 1_500_000
 #: Texts above this many bytes are encoded in slices.
 SLICE = 1 << 22
 _HEAD, _MARK = b"\x02", b"\x01"
-# A space or line end is a sure cut only between visible characters.
-_UNSURE = re.compile(rb" (?![!-~\xc3])|\n(?![!-~\xc3])|(?<![!-~])\n|[\x01\x02]")
+# Kinds of bytes: visible signs (v), white space as it is, control characters (c),
+# the rest of longer characters (z). A word may also start with the byte C3.
+_KINDS = bytes(
+    b if b in b" \n" else ord("v") if 33 <= b <= 126 or b == 0xC3 else ord("z") if b >= 128 else ord("c") for b in range(256)
+)
+# A space or line end is a sure cut only between visible signs.
+_UNSURE = (b"c", b"  ", b" \n", b" z", b"\n ", b"\n\n", b"\nz", b"z\n")
 _SLICE_AT = re.compile(rb"(?<=[!-~]) (?=[0-9A-Za-z])")
 
 
@@ -43,12 +48,24 @@ class WordEncoder:
             self.between, self.mark, self.line, self.space = b" \x01 ", mark[0], line.tobytes(), b""
             if len(mark) != 1 or len(line):
                 self.mark = None
+        #: Upper and lower case have the same ids.
+        self.lower = self._ids("A").tobytes() == self._ids("a").tobytes()
+        self.stops = {bytes([c]): self._ids(chr(c)).tobytes() for c in b".,"}
         self.words: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=IDS)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        # a stop after an ASCII letter is encoded apart from the word
+        ended = [(w, w[:-1], w[-1:]) for w in words if w[-1:] in self.stops and w[-2:-1].isalpha()]
+        plain = words.difference(w for w, _, _ in ended)
+        plain.update(stem for _, stem, _ in ended if stem not in self.words)
+        self._encode_words(list(plain))
+        for w, stem, stop in ended:
+            self.words[w] = self.words[stem] + self.stops[stop]
+
+    def _encode_words(self, words: list[bytes]) -> None:
         between, known = self.between, self.words
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
@@ -66,8 +83,13 @@ class WordEncoder:
 
     def _pieces(self, text: bytes, head: bool) -> list[bytes] | None:
         """Keys of the words of a text; None if it has to be encoded whole."""
-        if self.mark is None or not text or _UNSURE.search(text):
+        kinds = text.translate(_KINDS)
+        if self.mark is None or kinds[:1] in b"\n" or kinds[-1:] in b" \n" or any(k in kinds for k in _UNSURE):
             return None
+        if self.lower:
+            if b"<|" in text:  # what looks like a special token is told apart by case
+                return None
+            text = text.lower()
         text = text.replace(b"\n", b" \n " + _HEAD)
         return (_HEAD + text if head else text[1:]).split(b" ")
 
@@ -78,21 +100,25 @@ class WordEncoder:
             if 2 * len(self.words) > WORDS_KEPT:
                 self.words.clear()
         self.words[b"\n"] = self.line
-        parts: list[tuple[int, bytes, list[bytes] | None]] = []
-        n = 0
+        parts, new, n = [], set(), 0
         for text in texts:
             for k, part in enumerate(_slices(text or b"")):
-                parts.append((n, part, self._pieces(part, k == 0)))
+                pieces = self._pieces(part, k == 0)
+                ids = list(map(self.words.get, pieces)) if pieces else None
+                gaps = [i for i, known in enumerate(ids) if known is None] if pieces else ()
+                gaps = [(i, pieces[i]) for i in gaps]
+                new.update(w for _, w in gaps)
+                parts.append((n, part, ids, gaps))
             n += 1
-        new = set().union(*(p for _, _, p in parts if p)).difference(self.words)
-        self._learn(list(new))
+        self._learn(new)
         out: list[list[bytes]] = [[] for _ in range(n)]
-        get = self.words.__getitem__
-        for i, part, pieces in parts:
-            if pieces is not None:
-                out[i].append(b"".join(map(get, pieces)))
+        for at, part, ids, gaps in parts:
+            for i, word in gaps:
+                ids[i] = self.words[word]
+            if ids is not None:
+                out[at].append(b"".join(ids))
             elif part:
-                out[i].append(self._ids(part.decode("utf-8", "replace")).tobytes())
+                out[at].append(self._ids(part.decode("utf-8", "replace")).tobytes())
         return [p[0] if len(p) == 1 else b"".join(p) for p in out]
 
 
