@@ -27,7 +27,9 @@ MAGIC = b"S8BIDS01"
 BLOCK = 1024
 END_ID = 1
 #: Ids after which a task starts another file.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
+#: Blocks that are encoded at a time; bounds memory and fits a processor's cache.
+TOGETHER = 512
 #: Fixed values of the coding: selector -> (ids in a word, bits of each).
 SELECTORS = (
     (240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
@@ -37,26 +39,43 @@ SELECTORS = (
 ESCAPE = np.uint64((1 << 60) | 1)
 
 
+_BITS = np.array([b.bit_length() for b in range(1 << 16)], np.uint8)
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
-    bits = np.zeros(x.shape, np.uint8)
-    rest = x.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step) > 0
-        bits[high] += step
-        rest[high] >>= np.uint64(step)
-    return bits + (rest > 0).astype(np.uint8)
+    bits = _BITS[x & np.uint64(0xFFFF)]
+    for shift in (16, 32, 48) if x.size and int(x.max()) >> 16 else ():
+        part = _BITS[(x >> np.uint64(shift)) & np.uint64(0xFFFF)]
+        bits = np.where(part > 0, part + np.uint8(shift), bits)
+    return bits
 
 
-def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all blocks, and the first word of each block.
+_TAKE = np.array([count for count, _ in SELECTORS] + [1], np.int64)
 
-    In every block each word takes the longest run of ids that fits a selector; the
-    blocks advance together, a word per step.
-    """
+
+def _over(need: np.ndarray, by: int) -> np.ndarray:
+    """The higher need of each run and of the one that starts ``by`` later in the block."""
+    out = np.full(need.shape, 61, np.uint8)
+    np.maximum(need[:, :-by], need[:, by:], out=out[:, :-by])
+    return out
+
+
+def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all blocks, and the first word of each block."""
+    words, first, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for start in range(0, len(ids), TOGETHER * BLOCK):
+        own, begins = _encode_blocks(ids[start : start + TOGETHER * BLOCK])
+        words.append(own)
+        first.append(begins + at)
+        at += len(own)
+    return np.concatenate(words), np.concatenate(first)
+
+
+def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In every block each word takes the longest run of ids that fits a selector; the
+    blocks advance together, a word per step."""
     n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blocks = -(-n // BLOCK)
     x = np.zeros(blocks * BLOCK, np.uint64)
     x[:n] = ids
@@ -64,43 +83,34 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
     need = _bits(x)
     need[np.arange(BLOCK)[None, :] >= size[:, None]] = 61  # ends a run
-    best = np.full(x.shape, 16, np.uint8)  # 16: escape
-    take = np.ones(x.shape, np.int16)
-    known = {1: need}  # highest need over runs of a length, by doubling
-    for selector in range(15, -1, -1):
-        count, bits = SELECTORS[selector]
+    # what fits a longer run of fewer bits also fits all shorter ones: count what fits
+    fitting = np.zeros(x.shape, np.uint8)
+    known = {1: need}  # highest need over runs of a length
+    power = 1
+    while power < 128:
+        known[2 * power] = _over(known[power], power)
+        power *= 2
+    for count, bits in SELECTORS:
         if count not in known:
-            power = 1 << (count.bit_length() - 1)
-            p = 1
-            while p < power:
-                if 2 * p not in known:
-                    known[2 * p] = np.full(x.shape, 61, np.uint8)
-                    known[2 * p][:, : BLOCK - 2 * p + 1] = np.maximum(known[p][:, : BLOCK - 2 * p + 1], known[p][:, p : BLOCK - p + 1])
-                p *= 2
-            if count != power:
-                known[count] = np.full(x.shape, 61, np.uint8)
-                last = BLOCK - count + 1
-                known[count][:, :last] = np.maximum(known[power][:, :last], known[power][:, count - power : count - power + last])
-        fits = known[count] <= bits
-        best[fits] = selector
-        take[fits] = count
+            half = 1 << (count.bit_length() - 1)
+            known[count] = _over(known[half], count - half)
+        fitting += known[count] <= bits
+    best = np.uint8(16) - fitting  # 16: escape
+    take = _TAKE[best]
     at = np.zeros(blocks, np.int64)
-    rows, starts, which = [], [], []
+    begins = np.zeros(x.shape, bool)
     live = np.arange(blocks)
     while len(live):
         a = at[live]
-        rows.append(live)
-        starts.append(a)
-        which.append(best[live, a])
-        at[live] = a + take[live, a]
-        live = live[at[live] < size[live]]
-    row, start, selector = np.concatenate(rows), np.concatenate(starts), np.concatenate(which)
-    order = np.lexsort((start, row))
-    row, start, selector = row[order], start[order], selector[order]
+        begins[live, a] = True
+        a = a + take[live, a]
+        at[live] = a
+        live = live[a < size[live]]
+    base = np.flatnonzero(begins)
+    row, selector, flat = base // BLOCK, best.reshape(-1)[base], x.reshape(-1)
     width = 1 + (selector == 16)
     place = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
-    flat, base = x.reshape(-1), row * BLOCK + start
     for s in np.unique(selector).tolist():
         these = np.flatnonzero(selector == s)
         if s == 16:
