@@ -34,6 +34,15 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def commit_file(store, temporary: str, final: str) -> None:
+    """Give a finished file its name; an attempt that is repeated replaces its file."""
+    from pyarrow.fs import FileType
+
+    if store.get_file_info(final).type != FileType.NotFound:
+        store.delete_file(final)
+    store.move(temporary, final)
+
+
 class Scratch:
     """Tables of one run, below one fresh folder.
 

@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.llm.scratch import Scratch
+from tradeweave.llm.scratch import Scratch, commit_file
 from tradeweave.llm.tokens import IDS, encoder
 
 MAGIC = b"S8BIDS01"
@@ -218,7 +218,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
             temporary = f"{root}/_tmp-{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as out:
                 out.write(content)
-            store.move(temporary, final)
+            commit_file(store, temporary, final)
             files += 1
             row = pa.RecordBatch.from_pydict({"file": [final], "ids": [total], "bytes": [len(content)]})
             names, held, total = [], [], 0

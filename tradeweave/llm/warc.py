@@ -22,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.llm.scratch import Scratch
+from tradeweave.llm.scratch import Scratch, commit_file
 
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
@@ -94,7 +94,7 @@ def _writer(folder: str, file_bytes: int):
             temporary = f"{root}/_tmp-{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as out:
                 out.write(content)
-            store.move(temporary, f"{root}/{name}")
+            commit_file(store, temporary, f"{root}/{name}")
             part += 1
             row = {"file": [name], "records": [count], "bytes": [len(content)], "sha256": [hashlib.sha256(content).hexdigest()]}
             held, size, count = [], 0, 0
