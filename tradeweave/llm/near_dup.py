@@ -27,6 +27,8 @@ from tradeweave.llm.scratch import Scratch
 PERMUTATIONS = 64
 BAND_ROWS = 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
+#: Members of a group that a task compares with as many others.
+BLOCK = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -217,8 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
 
     links = confirmed(pairs, "links")
     roots = components(links, scratch)
-    rest = _left_over(led, sets, roots, percent, scratch)
-    more = confirmed(rest, "more")
+    more = scratch.table(_left_over(led, sets, roots, percent, scratch), "more")
     if more.limit(1).count():
         roots = components(links.unionByName(more), scratch)
     scratch.drop(led, sets)
@@ -242,23 +243,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     )
 
 
+def _compare_left(percent: int):
+    """Links between the members of one block and those of another; each component that
+    a member turns out to link with is met once."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cols = {k: table.column(k).to_pylist() for k in ("asks", "node", "root", "main")}
+        n, c = table.column("n").to_numpy(), table.column("c").to_numpy()
+        sets = _lists(table.column("shingles").combine_chunks())
+        asks = np.array(cols["asks"], bool)
+        asking, asked = np.flatnonzero(asks), np.flatnonzero(~asks)
+        _, root = np.unique(np.array(cols["root"], object).astype("S16"), return_inverse=True)
+        _, place = np.unique(np.array(cols["node"], object).astype("S16"), return_inverse=True)
+        main = np.array(cols["main"], bool)
+        a, b = [], []
+        for i in asking.tolist():
+            small, large = np.minimum(n[i], n[asked]), np.maximum(n[i], n[asked])
+            fits = (100 + percent) * np.minimum(c[i], c[asked]) >= percent * (n[i] + n[asked])
+            fits &= (100 * small >= percent * large) & (root[i] != root[asked]) & (main[asked] | (place[i] < place[asked]))
+            met = set()
+            for j in asked[fits].tolist():
+                if root[j] in met:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    met.add(root[j])
+                    a.append(cols["node"][i])
+                    b.append(cols["node"][j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return compare
+
+
 def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and may link.
+    """Links (a, b) between components, among the nodes that share a leader.
 
-    A link of x needs (100 + percent) * c >= percent * (|x| + |y|), where c counts
-    those shingles of x that occur in any other document left over. Every bucket's
-    largest component is only met by members of others, never by itself.
+    Nodes that share a bucket share its leader. A link of x needs
+    (100 + percent) * c >= percent * (|x| + |y|), where c counts those shingles of x
+    that occur in any other document left over. The largest component of a leader is
+    only met by members of others. Comparisons run in blocks; only links leave them.
     """
-    rest = led.where(F.col("node") != F.col("leader")).join(roots, "node", "left")
-    rest = rest.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_m"))
-    main = (
-        sizes.groupBy("key")
+    rest = led.where(F.col("node") != F.col("leader")).select("leader", "node", "n").distinct()
+    rest = rest.join(roots, "node", "left").select("leader", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = rest.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("_m"))
+    largest = (
+        sizes.groupBy("leader")
         .agg(F.max(F.struct("_m", "root")).alias("_main"), F.count(F.lit(1)).alias("_roots"))
         .where("_roots > 1")
-        .select("key", F.col("_main.root").alias("main"))
+        .select("leader", F.col("_main.root").alias("_largest"))
     )
-    rest = scratch.table(rest.join(main, "key"), "rest")
+    rest = scratch.table(rest.join(largest, "leader").withColumn("main", F.col("root") == F.col("_largest")), "rest")
     left = sets.join(rest.select("node").distinct(), "node", "left_semi")
     single = (
         left.select("node", F.explode("shingles").alias("s"))
@@ -270,22 +304,30 @@ def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int,
     )
     known = rest.join(single, "node", "left").withColumn("c", F.col("n") - F.coalesce("_single", F.lit(0)))
     # the partner has at least percent of the size
-    known = known.where((100 + percent) * 100 * F.col("c") >= percent * (100 + percent) * F.col("n"))
-    known = scratch.table(known.select("key", "node", "n", "root", "main", "c"), "known")
-    x = known.where(F.col("root") != F.col("main"))
-    y = known.select("key", *[F.col(k).alias("_" + k) for k in ("node", "n", "root", "c")])
-    fits = (100 + percent) * F.least("c", "_c") >= percent * (F.col("n") + F.col("_n"))
-    return (
-        x.join(y, "key")
-        .where(
-            (F.col("root") != F.col("_root"))
-            & ((F.col("_root") == F.col("main")) | (F.col("node") < F.col("_node")))
-            & fits
-            & _linkable(F.col("n"), F.col("_n"), percent)
+    known = known.where(100 * F.col("c") >= percent * F.col("n")).select("leader", "node", "n", "root", "main", "c")
+    known = scratch.table(known, "known")
+    blocks = (
+        known.groupBy("leader")
+        .agg(
+            F.ceil(F.sum((~F.col("main")).cast("long")) / BLOCK).cast("int").alias("asking"),
+            F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("asked"),
         )
-        .select(F.col("node").alias("a"), F.col("_node").alias("b"))
-        .distinct()
+        .where("asking > 0")
     )
+    placed = known.join(blocks, "leader").join(sets, "node")
+    kept = ("leader", "node", "n", "root", "main", "c", "shingles")
+    ask = placed.where("not main").select(
+        *kept, F.lit(True).alias("asks"),
+        F.pmod(F.xxhash64("node"), "asking").cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("cb"),
+    )
+    asked = placed.select(
+        *kept, F.lit(False).alias("asks"),
+        F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("qb"),
+        F.pmod(F.xxhash64("node"), "asked").cast("int").alias("cb"),
+    )
+    both = ask.unionByName(asked).groupBy("leader", "qb", "cb")
+    return both.applyInArrow(_compare_left(percent), "a binary, b binary")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
