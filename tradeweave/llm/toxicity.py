@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a model is fitted on at most, chosen by a hash of the id.
+from tradeweave.llm.scratch import Scratch
+
+#: Labelled documents that a model is fitted on at most; also bounds what is broadcast.
 TRAIN_DOCS = 40_000
 #: Windows of tokens collected for fitting at most.
 TRAIN_WINDOWS = 12_000
@@ -236,19 +238,28 @@ def _windows(marked: set[str], seed: int):
     return windows
 
 
-def train(labelled: DataFrame, most_docs: int = TRAIN_DOCS, most_windows: int = TRAIN_WINDOWS) -> Chain:
-    """A chain from labelled texts (doc_id, text, toxic 0/1).
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """Texts to learn from: the ``most`` labelled ones with the lowest hash of their id.
+
+    Only ids are shuffled; the chosen ones, bounded in number, go to where the texts
+    are read.
+    """
+    chosen = (
+        labels.where(labels["toxic"].isNotNull() & ~F.coalesce(held_out(labels["doc_id"]), F.lit(True)))
+        .select(labels["doc_id"].alias("_l"), labels["toxic"].cast("int").alias("toxic"))
+        .orderBy(F.xxhash64(F.lit("fit"), "_l"), "_l", "toxic")
+        .limit(most)
+    )
+    rows = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_l")).select("doc_id", "text", "toxic")
+
+
+def train(known: DataFrame, most_windows: int = TRAIN_WINDOWS) -> Chain:
+    """A chain from labelled texts (doc_id, text, toxic 0/1), none of them missing.
 
-    The fit looks at no more than about ``most_docs`` documents, those with the
-    lowest hash of their id, and at one window of each of ``most_windows``. Rows
-    without text or label do not count. Without any toxic word the chain gives
-    every text a score near 0.
+    One window of each of ``most_windows`` documents is fitted. Without any toxic
+    word the chain gives every text a score near 0.
     """
-    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isNotNull())
-    total = known.count()
-    if total > most_docs:
-        share = int(2**31 * most_docs / total)
-        known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(2**31)) < share)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1):
         return Chain()
@@ -411,12 +422,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Chain:
-    """Fit on the labelled documents that are not held out."""
-    own = labels.where(labels["toxic"].isNotNull()).select(labels["doc_id"].alias("_l"), labels["toxic"].alias("toxic"))
-    rows = docs.where(~F.coalesce(held_out(docs["doc_id"]), F.lit(True))).select(
-        docs["doc_id"].alias("doc_id"), docs["text"].alias("text")
-    )
-    return train(rows.join(own, F.col("doc_id") == F.col("_l")).select("doc_id", "text", "toxic"))
+    """Fit on labelled documents that are not held out, at most TRAIN_DOCS of them."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = scratch.table(training_rows(docs, labels), "training")
+    chain = train(known)
+    scratch.drop()
+    return chain
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
