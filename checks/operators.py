@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -79,14 +80,14 @@ def list_tables(s):
 
 def _through_csv(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{sinks.shared_dir(spark)}/{name}"
+    path = f"{sinks.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     sinks.write_csv(df, path)
     return read_csv(spark, path, df.schema)
 
 
 @operator
 def read_csv_table(s):
-    return _through_csv(s.tables.population, "population_csv").where(F.col("year") >= 2000)
+    return _through_csv(s.tables.population, "population_csv")
 
 
 @operator
@@ -453,7 +454,7 @@ def group_total_column(s):
 
 @operator
 def average_rank(s):
-    partners = network.degrees(s.trade(), ["year"]).where(F.col("all_out_degree").isNotNull())
+    partners = network.degrees(s.trade(), ["year"])
     return partners.withColumn("ranking", windows.average_rank("all_out_degree", ["year"]))
 
 

@@ -81,7 +81,7 @@ add(
         )
     ),
 )
-add("read_csv", "record_id iso3c year pop", "SELECT * FROM population WHERE year >= 2000")
+add("read_csv", "record_id iso3c year pop", "SELECT * FROM population")
 table("write_csv", "year habitat_method environment dom_live_weight_t:d", "dom_exports")
 table("centroid_source", "iso3 adm1_code centroid_lon:r centroid_lat:r", "centroids")
 
@@ -644,9 +644,9 @@ add(
 add(
     "average_rank",
     "year iso3c all_out_degree all_in_degree ranking:r",
-    """SELECT *, rank() OVER (PARTITION BY year ORDER BY all_out_degree)
-        + (count(*) OVER (PARTITION BY year, all_out_degree) - 1) / 2.0 AS ranking
-    FROM degree WHERE all_out_degree IS NOT NULL""",
+    """SELECT *, CASE WHEN all_out_degree IS NOT NULL THEN rank() OVER (PARTITION BY year ORDER BY all_out_degree NULLS LAST)
+        + (count(*) OVER (PARTITION BY year, all_out_degree) - 1) / 2.0 END AS ranking
+    FROM degree""",
 )
 add(
     "top_k_by_group",

@@ -38,14 +38,6 @@ def test_anti_join_on_real_columns(spark):
     assert as_set(out, "c", "y") == {("a", 2), (None, 1)}
 
 
-def test_broadcast_only_when_shown_to_fit(spark):
-    df = spark.range(50)
-    assert joins.fits_broadcast(df, 50) and not joins.fits_broadcast(df, 49)
-    hinted = joins.broadcast_if(True, df)._jdf.queryExecution().analyzed().toString()
-    plain = joins.broadcast_if(False, df)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted and "broadcast" not in plain
-
-
 # -- windows ---------------------------------------------------------------------
 
 
@@ -150,3 +142,16 @@ def test_last_stage_of_a_flow_leads_nowhere(spark):
     assert as_set(reshape.flow_links(df, ["a", "b"], "w"), "x", "node", "next_x", "next_node", "value") == {
         ("a", "Asia", "b", "Africa", 5.0), ("b", "Africa", None, None, 5.0),
     }
+
+
+def test_missing_values_do_not_rank_or_shift(spark):
+    df = spark.createDataFrame([("a", 10), ("a", None), ("a", 20), ("a", None)], "g string, x int")
+    out = df.select("x", windows.average_rank("x", ["g"]).alias("r"))
+    assert sorted((r["x"] or 0, r["r"]) for r in out.collect() if r["x"]) == [(10, 1.0), (20, 2.0)]
+    assert [r["r"] for r in out.collect() if r["x"] is None] == [None, None]
+
+
+def test_a_missing_weight_leaves_its_group_without_percents(spark):
+    df = spark.createDataFrame([("a", "p", 2.0), ("a", "q", None), ("b", "p", 1.0)], "g string, m string, x double")
+    out = windows.cumulative_share(df, ["g"], "x", tie_break="m")
+    assert {(r["g"], r["cumulative_percent"]) for r in out.collect()} == {("a", None), ("b", 100.0)}

@@ -1,7 +1,5 @@
 """Physical plans: what must never appear, and what must."""
 
-from dataclasses import replace
-
 import pytest
 
 from checks import registry
@@ -38,18 +36,9 @@ def test_rows_below_top_k_are_dropped_before_the_shuffle(study):
         assert plan_of(windows.top_k(flows, by, "w", 3)).count("WindowGroupLimit") == 2
 
 
-def test_outliers_travel_to_the_rows(study):
-    """Detail rows are not shuffled to apply the cap."""
-    plan = optimized(supply.consumption_percap_adjusted(study))
-    assert "rightHint=(strategy=broadcast)" in plan
-
-
-def test_outliers_join_plainly_when_population_is_large(study, monkeypatch):
-    from tradeweave.plans import study as study_module
-
-    monkeypatch.setattr(study_module, "fits_broadcast", lambda *_: False)
-    fresh = replace(study)
-    assert "strategy=broadcast" not in optimized(supply.consumption_percap_adjusted(fresh))
+def test_outliers_are_joined_without_a_hint(study):
+    for dataset in (supply.consumption_percap_adjusted, supply.consumption_scaled):
+        assert "strategy=" not in optimized(dataset(study))
 
 
 def test_supply_reads_consumption_once(study):

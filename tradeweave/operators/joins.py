@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is shown to have at most this many rows.
-MAX_BROADCAST_ROWS = 1_000_000
-
 
 def _match(left: Column, right: Column, null_safe: bool) -> Column:
     return left.eqNullSafe(right) if null_safe else left == right
@@ -64,17 +61,3 @@ def without_keys(df: DataFrame, keys_table: DataFrame, keys: Sequence[str]) -> D
     """Rows whose key does not occur in ``keys_table`` (missing keys included)."""
     condition = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     return df.alias("a").join(keys_table.select(*keys).alias("b"), condition, "left_anti")
-
-
-def fits_broadcast(bound: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether a table is small enough to send to every task.
-
-    Used where a derived table, whose size Spark cannot see before running it, holds
-    at most one row per row of a dimension: only the dimension is counted.
-    """
-    return bound.count() <= max_rows
-
-
-def broadcast_if(fits: bool, df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table shown to fit; otherwise the plain join is used."""
-    return F.broadcast(df) if fits else df

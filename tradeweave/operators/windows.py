@@ -24,13 +24,15 @@ def cumulative_share(
 ) -> DataFrame:
     """Running percent of the group total, largest first, row by row.
 
-    Equal values are taken in the order of ``tie_break``. The total and the
-    running sum share one shuffle and one sort.
+    Equal values are taken in the order of ``tie_break``. A group with a missing
+    value has no percents. The total and the running sum share one shuffle and one
+    sort.
     """
     running = _group(by).orderBy(F.col(value).desc(), F.col(tie_break)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return df.withColumn(name, percent(F.sum(value).over(running), F.sum(value).over(_group(by))))
+    complete = F.count(F.lit(1)).over(_group(by)) == F.count(value).over(_group(by))
+    return df.withColumn(name, F.when(complete, percent(F.sum(value).over(running), F.sum(value).over(_group(by)))))
 
 
 def group_total(df: DataFrame, by: Sequence[str], value: str, name: str, skip_missing: bool = False) -> DataFrame:
@@ -57,10 +59,14 @@ def share_of_all(df: DataFrame, value: str, name: str, total: str) -> DataFrame:
 
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
-    """Ascending rank; equal values share the mean of their positions."""
-    return F.rank().over(_group(by).orderBy(F.col(value))) + (
+    """Ascending rank; equal values share the mean of their positions.
+
+    A missing value has no rank and does not shift the others.
+    """
+    rank = F.rank().over(_group(by).orderBy(F.col(value).asc_nulls_last())) + (
         F.count(F.lit(1)).over(_group([*by, value])) - 1
     ) / F.lit(2.0)
+    return F.when(F.col(value).isNotNull(), rank)
 
 
 def top_k(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:

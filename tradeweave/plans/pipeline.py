@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tradeweave.functions.domains import FOUR_SOURCES
 from tradeweave.plans import headline, lastmile, study, supply, trade
 from tradeweave.plans.study import Study
-from tradeweave.sources.sinks import materialise, write_csv, write_parquet
+from tradeweave.sources.sinks import materialise, remove, write_csv, write_parquet
 
 Dataset = Callable[[Study], DataFrame]
 
@@ -139,7 +139,7 @@ HEADLINE: dict[str, Dataset] = {
 
 DATASETS: dict[str, Dataset] = {**TRADE, **SUPPLY, **LASTMILE, **HEADLINE}
 
-# Datasets that are detail rows: written by year, never as CSV.
+# Datasets that are detail rows: Parquet is laid out by year.
 DETAIL = ("prod", "trade_nonfood", "consumption_scaled", "consumption_percap_adjusted")
 
 
@@ -147,22 +147,27 @@ def run(s: Study, out: str, names: Iterable[str] | None = None, csv: bool = Fals
     """Write datasets under ``out``; returns the path of each.
 
     The two large facts are aggregated and written once, then supply, which many
-    datasets start from; all others read those. As most are small, several are computed at once. Parquet by
-    default; with ``csv`` the aggregated ones become CSV.
+    datasets start from; all others read those. As most are small, several are
+    computed at once. Parquet by default, CSV with ``csv``. The shared tables are
+    deleted in the end.
     """
     shared = s.shared()
     shared = replace(shared, supply_table=materialise(supply.supply(shared), "supply"))
 
     def write(name: str) -> str:
         path = f"{out}/{name}"
-        if name in DETAIL:
-            write_parquet(DATASETS[name](shared), path, partition_by=["year"])
-        elif csv:
+        if csv:
             write_csv(DATASETS[name](shared), path)
+        elif name in DETAIL:
+            write_parquet(DATASETS[name](shared), path, partition_by=["year"])
         else:
             write_parquet(DATASETS[name](shared), path)
         return path
 
     chosen = list(DATASETS if names is None else names)
-    with ThreadPoolExecutor(at_once) as pool:
-        return dict(zip(chosen, pool.map(write, chosen)))
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            return dict(zip(chosen, pool.map(write, chosen)))
+    finally:
+        for table in (shared.trade_cube, shared.consumption_cube, shared.supply_table):
+            remove(table)

@@ -19,7 +19,7 @@ from tradeweave.functions.columns import (
     percent,
 )
 from tradeweave.operators import allocation as cap
-from tradeweave.operators.joins import broadcast_if, lookup, without_keys
+from tradeweave.operators.joins import lookup, without_keys
 from tradeweave.operators.reshape import long, stack, wide
 from tradeweave.operators.windows import group_total, order_by_measure, share_of_all, share_of_group, top_k
 from tradeweave.plans.study import Study, combine_parts, consumption_rows
@@ -32,13 +32,13 @@ SLICE_YEAR = 2019
 
 
 def _outliers(s: Study, year: int | None = None) -> DataFrame:
-    """Consumer-years over the cap, safe to send to every task.
+    """Consumer-years over the cap.
 
-    There is at most one per population row, so the size of the population table
-    decides.
+    Joined without a hint: by the size measured while running, Spark sends the list
+    to the rows or splits a hot consumer-year.
     """
     parts = s.consumption() if year is None else s.consumption().where(F.col("year") == year)
-    return broadcast_if(s.population_fits_broadcast, cap.outliers(parts, s.tables.population))
+    return cap.outliers(parts, s.tables.population)
 
 
 def consumption_outliers(s: Study) -> DataFrame:
@@ -75,7 +75,7 @@ def _with_common_names(s: Study, df: DataFrame) -> DataFrame:
 def consumption_percap_adjusted(s: Study) -> DataFrame:
     """All consumption rows after the cap, with regions and common names.
 
-    One pass over the detail: the outliers travel to the rows, which never move.
+    The list of outliers is joined to the rows once they are known.
     """
     rows = consumption_rows(s)
     weight = rows.schema[TONNES].dataType
