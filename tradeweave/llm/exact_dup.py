@@ -87,10 +87,11 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     kept = duplicate_groups(docs, with_hash=True).where("kept").select(
         F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("_row")
     )
-    keyed = docs.withColumn("_key", F.struct(docs["doc_id"].alias("i"), sha256(normalised(docs["text"])).alias("h")))
+    key = F.struct(docs["doc_id"].alias("i"), sha256(normalised(docs["text"])).alias("h"))
+    keyed = docs.select(key.alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
     one = Window.partitionBy("_key").orderBy(F.lit(0))
     stay = keyed.join(kept, F.col("_key") == F.col("_row"), "left_semi").withColumn("_n", F.row_number().over(one))
-    return stay.where("_n = 1").select(*docs.columns)
+    return stay.where("_n = 1").select("_doc.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if len(x) < 3:
             continue
         one = x[x != 32]
-        two = (x[:-1] << 21) | x[1:]
+        two = ((x[:-1] << 21) | x[1:])[(x[:-1] != 32) | (x[1:] != 32)]
         three = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
         three = three[x[1:-1] != 32]
         codes, counts = np.unique(np.concatenate([one, two, three]), return_counts=True)

@@ -117,11 +117,12 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     mixed = mixed.select(key.alias("_a"), "copies")
     mixed = mixed.withColumn("_i", F.row_number().over(Window.partitionBy("_a").orderBy("copies")))
     own = F.struct(docs["doc_id"].alias("d"), docs["source"].alias("s"), size_of(docs["text"]).alias("n"))
-    rows = docs.withColumn("_b", own)
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(own.alias("_b"), whole.alias("_doc"))
     # rows alike in id, source and size are told apart by their place
-    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("text"))))
+    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_doc.text"))))
     taken = rows.join(mixed.where("copies > 0"), (F.col("_a") == F.col("_b")) & (F.col("_i") == F.col("_j")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:

@@ -336,7 +336,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     Rows that repeat a doc_id stay together if one of them does.
     """
     kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_stays"]), "left_semi")
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
