@@ -22,8 +22,10 @@ from tradeweave.llm.tokens import IDS, encoder
 
 WINDOW = 1024
 END_ID = 0
+#: Entries of a worker's table of encoded words.
+WORDS_KEPT = 500_000
 #: Tokens that a task holds before it packs them.
-BATCH_TOKENS = 8_000_000
+BATCH_TOKENS = 4_000_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -141,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     end = np.array([end_id], IDS).tobytes()
 
     def pack_partition(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, WORDS_KEPT).encode
         packer = _Packer(window, TaskContext.get().partitionId())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -33,10 +33,11 @@ _SLICE_AT = re.compile(rb"(?<=[!-~]) (?=[0-9A-Za-z])")
 class WordEncoder:
     """Encodes texts (UTF-8 bytes) to ids (little-endian unsigned 32-bit bytes)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         # Between words goes something with an id of its own: a line end where the
         # encoder keeps white space, else a control character standing alone.
@@ -95,9 +96,9 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """Ids of each text; a missing one has none."""
-        if len(self.words) > WORDS_KEPT:  # long words seldom come again
+        if len(self.words) > self.kept:  # long words seldom come again
             self.words = {w: ids for w, ids in self.words.items() if len(w) < 9}
-            if 2 * len(self.words) > WORDS_KEPT:
+            if 2 * len(self.words) > self.kept:
                 self.words.clear()
         self.words[b"\n"] = self.line
         parts, new, n = [], set(), 0
@@ -133,11 +134,14 @@ def _slices(text: bytes):
     yield text[start:] if start else text
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int = WORDS_KEPT) -> WordEncoder:
+    """This worker's encoder for a vocabulary file, with a word table of that size.
+
+    A table stays as long as the worker: where other steps follow, keep it small.
+    """
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = WordEncoder(path, kept)
+    return _encoders[path, kept]

@@ -32,7 +32,8 @@ BEGINNING = 5
 _WORD = re.compile(r"\w+")
 #: Marginals below this do not add up over a long document.
 FAINT = 0.05
-KEPT = 1_000_000
+#: Words whose weights a task remembers at most.
+KEPT = 300_000
 
 
 def word_list(text: Column) -> Column:
