@@ -248,6 +248,16 @@ def test_licence_rules_need_their_sentences_in_order(spark):
     assert out[5]["n_unknown"] == 1
 
 
+def test_licence_rules_on_long_sequences(spark):
+    grant = "Redistribution and use in source and binary forms, with or without modification, are permitted. "
+    source = "Redistributions of source code must retain the above copyright notice. "
+    binary = "Redistributions in binary form must reproduce the above copyright notice. "
+    texts = [(1, (grant + source) * 3000), (2, (grant + source) * 3000 + binary), (3, binary + source + grant), (4, grant + source + "Copyright 2020. " + binary)]
+    out = {r["doc_id"]: r for r in licences.licences(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [out[i]["licences"] for i in (1, 2, 3, 4)] == [[], ["BSD-2-Clause"], [], ["BSD-2-Clause"]]
+    assert out[2]["n_sentences"] == 6001
+
+
 def test_pipeline_stages_pass_on_documents(spark):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")

@@ -129,8 +129,12 @@ def identifiers(spoken: Column) -> Column:
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
-    """The rule over a joined sequence ' id id id '."""
-    return "( .*)? ".join(f" {i}" if k == 0 else i for k, i in enumerate(ids)) + " "
+    """The rule over a joined sequence ' id  id  id '.
+
+    Every identifier is taken where it first comes and not looked for again, so that
+    the time is linear in the length of the sequence.
+    """
+    return "^" + "".join(f"(?>.*? {i} )" for i in ids)
 
 
 def licences(docs: DataFrame) -> DataFrame:
