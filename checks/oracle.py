@@ -737,8 +737,9 @@ add("cast_text", "hs6 n", "SELECT CAST(hs6 AS VARCHAR) AS hs6, count(*) AS n FRO
 add(
     "country_to_code",
     "iso3c n",
-    """SELECT concat('N', lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) AS iso3c, count(*) AS n
-    FROM customer GROUP BY c_nationkey""",
+    """SELECT CASE WHEN c_nationkey < 20 THEN concat('N', lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) END AS iso3c,
+      count(*) AS n
+    FROM customer GROUP BY 1""",
 )
 add(
     "round_digits",
@@ -1004,4 +1005,15 @@ metrics(
     ),
     ({"south_america_decline": f"-({sig('(' + pick('percent_diff', region='South America') + ')', 3)})"}, "region_trend"),
     ({f"global_supply_{y}": sig(f"({pick('per_cap', year=y)})", 3) for y in (1996, 2019)}, "world_per_cap"),
+    ({"world_capture_share": sig(f"({pick('percent_supply', method='capture')})", 2)}, "methods_2020"),
+    (
+        {f"{r.lower()}_capture_share": sig(f"({pick('capture', region=r)})", 2) for r in ("Oceania", "Asia")},
+        "region_methods",
+    ),
+    ({f"foreign_share_{y}": sig(f"({pick('percent_supply', year=y)})", 3) for y in (1996, 2020)}, "foreign_years"),
+    (
+        {"asia_farmed_overtake_year": "min(year) FILTER (WHERE a > c)"},
+        """(SELECT year, sum(supply) FILTER (WHERE method = 'aquaculture') AS a, sum(supply) FILTER (WHERE method = 'capture') AS c
+        FROM supplies WHERE region = 'Asia' GROUP BY year)""",
+    ),
 )

@@ -48,6 +48,8 @@ SOME = (
     "sankey_regions_marine_capture",
     "regional_supply_trends",
     "growth_statements",
+    "supply_statements",
+    "list_tables",
 )
 
 

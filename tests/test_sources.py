@@ -13,10 +13,7 @@ from tradeweave.sources.tables import TradeTables, list_tables, read_csv, row_co
 def stored(spark, tmp_path_factory):
     """The fixture tables written the way the library lays them out."""
     root = str(tmp_path_factory.mktemp("tables"))
-    tables = fixtures.study(spark, SMALL).tables
-    for name, schema in schemas.TABLES.items():
-        df = getattr(tables, name).select(*schema.fieldNames())
-        sinks.write_parquet(df, f"{root}/{name}", schemas.PARTITIONED.get(name, ()))
+    sinks.write_tables(fixtures.study(spark, SMALL).tables, root)
     return root
 
 

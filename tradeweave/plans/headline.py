@@ -359,7 +359,7 @@ def growth_statements(s: Study) -> DataFrame:
 
 
 def supply_statements(s: Study) -> DataFrame:
-    """Per-capita supply figures as quoted, to significant digits."""
+    """Supply figures as quoted, to significant digits."""
     by_category = _metrics(
         hm_supply_trends(s),
         {
@@ -376,4 +376,23 @@ def supply_statements(s: Study) -> DataFrame:
         global_supply_lookups(s),
         {f"global_supply_{y}": signif(_pick("value", metric=f"global_supply_{y}"), 3) for y in (START, END)},
     )
-    return stack(by_category, south_america, world)
+    captured = _metrics(
+        stack(capture_share(s), region_capture_share(s)),
+        {
+            name: signif(_pick("value", metric=metric), 2)
+            for name, metric in (
+                ("world_capture_share", "cap_supply_percent"),
+                ("oceania_capture_share", "oceania_cap_supply_percent"),
+                ("asia_capture_share", "asia_cap_supply_percent"),
+            )
+        },
+    )
+    foreign = _metrics(
+        foreign_share_start_end(s),
+        {
+            f"foreign_share_{year}": signif(_pick("value", metric=f"foreign_consumption_{end}"), 3)
+            for year, end in ((START, "start"), (LAST, "end"))
+        },
+    )
+    overtaken = _metrics(asia_farmed_overtake_year(s), {"asia_farmed_overtake_year": F.max("farmed_year")})
+    return stack(by_category, south_america, world, captured, foreign, overtaken)

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.sources.tables import CSV_OPTIONS
+from tradeweave.sources import schemas
+from tradeweave.sources.tables import CSV_OPTIONS, TradeTables
 
 _local_dirs: dict[str, str] = {}
 
@@ -29,6 +30,17 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_tables(tables: TradeTables, root: str) -> None:
+    """Write every table below ``root``, for ``TradeTables.from_parquet``.
+
+    The two large ones are laid out by version and year, so that the regime filter
+    opens only matching folders.
+    """
+    for name, schema in schemas.TABLES.items():
+        table = getattr(tables, name).select(*schema.fieldNames())
+        write_parquet(table, f"{root}/{name}", schemas.PARTITIONED.get(name, ()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named in ``spark.checkpoint.dir``.
 
