@@ -41,6 +41,11 @@ def test_outliers_are_joined_without_a_hint(study):
         assert "strategy=" not in optimized(dataset(study))
 
 
+def test_concentration_reads_trade_once(study):
+    plan = plan_of(headline.concentration_lookups(study))
+    assert len([line for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line]) == 1
+
+
 def test_supply_reads_consumption_once(study):
     scans = [line for line in plan_of(supply.supply(study)).splitlines() if "FileScan" in line and "l_orderkey" in line]
     assert len(scans) == 1

@@ -18,7 +18,7 @@ from tradeweave.functions.columns import (
     round_even,
     signif,
 )
-from tradeweave.operators.reshape import metric_table, stack, stack_tagged, wide
+from tradeweave.operators.reshape import metric_table, stack, wide
 from tradeweave.operators.windows import rows_at_max, share_of_group
 from tradeweave.plans import supply, trade
 from tradeweave.plans.study import Study
@@ -91,15 +91,8 @@ def percent_export_lookups(s: Study) -> DataFrame:
 
 
 def concentration_lookups(s: Study) -> DataFrame:
-    counts = stack_tagged(
-        {
-            "export": trade.export_concentration_n_countries(s),
-            "import": trade.import_concentration_n_countries(s),
-        },
-        "flow",
-    )
     return _metrics(
-        counts,
+        trade.n_countries_by_flow(s),
         {f"{flow}_n_countries_{y}": _pick("n", year=y, flow=flow) for flow in ("export", "import") for y in (START, END)},
     )
 

@@ -161,6 +161,19 @@ def concentration_n_countries(s: Study, member: str) -> DataFrame:
     return n_below(concentration(s.edible_trade(), ["year"], member), ["year"])
 
 
+def n_countries_by_flow(s: Study) -> DataFrame:
+    """Exporting and importing countries behind the first three quarters of each year's
+    trade, from one pass over it: pairs of countries first, then both ends of each."""
+    pairs = s.edible_trade().groupBy("year", EXPORTER, IMPORTER).agg(strict_sum(WEIGHT).alias(WEIGHT))
+    ends = F.array(
+        F.struct(F.lit("export").alias("flow"), F.col(EXPORTER).alias("country")),
+        F.struct(F.lit("import").alias("flow"), F.col(IMPORTER).alias("country")),
+    )
+    members = pairs.select("year", WEIGHT, F.explode(ends).alias("end")).select("year", WEIGHT, "end.*")
+    by = ["year", "flow"]
+    return n_below(concentration(members, by, "country"), by)
+
+
 def concentration_n_countries_by_source(s: Study, member: str) -> DataFrame:
     by = ["year", "habitat_method"]
     return n_below(concentration(s.sourced_trade(), by, member), by)
