@@ -1,12 +1,17 @@
 """Physical plans: what must never appear, and what must."""
 
+import os
+
 import pytest
 
 from checks import registry
-from tests.conftest import optimized, plan_of
+from tests.conftest import SMALL, optimized, plan_of
 from tradeweave.operators import windows
 from tradeweave.plans import headline, lastmile, pipeline, supply, trade
+from tradeweave.sources import sinks
 
+# Base tables that the fixture reads.
+FIXTURE_TABLES = 7
 # Anything that moves rows through Python, one task or the driver.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas", "BatchEvalPython")
 
@@ -41,9 +46,29 @@ def test_outliers_are_joined_without_a_hint(study):
         assert "strategy=" not in optimized(dataset(study))
 
 
+def fact_scans(df) -> int:
+    return sum("FileScan" in line and "l_orderkey" in line for line in plan_of(df).splitlines())
+
+
 def test_concentration_reads_trade_once(study):
-    plan = plan_of(headline.concentration_lookups(study))
-    assert len([line for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line]) == 1
+    assert fact_scans(headline.concentration_lookups(study)) == 1
+
+
+def test_export_share_lookups_read_what_one_series_reads(study):
+    assert fact_scans(headline.percent_export_lookups(study)) == fact_scans(trade.percent_export_total(study))
+
+
+@pytest.mark.parametrize("name", ["growth_statements", "axis_limits", "global_max", "consumption_scaled"])
+def test_building_a_query_runs_no_job_and_writes_nothing(spark, name):
+    spark.sparkContext.setJobGroup(f"build-{name}", "")
+    before = set(os.listdir(sinks.shared_dir(spark).removeprefix("file:")))
+    registry.queries()[name](spark, SMALL)
+    written = set(os.listdir(sinks.shared_dir(spark).removeprefix("file:"))) - before
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}")
+    spark.sparkContext.setJobGroup("tests", "")
+    assert not written
+    # reading a Parquet folder takes a job each for its schema
+    assert len(jobs) <= FIXTURE_TABLES
 
 
 def test_supply_reads_consumption_once(study):

@@ -6,7 +6,7 @@ from tests.conftest import SMALL, plan_of
 from tradeweave.plans import trade
 from tradeweave.plans.study import Study, code_in
 from tradeweave.sources import schemas, sinks
-from tradeweave.sources.tables import TradeTables, list_tables, read_csv, row_counts, versions_by_jdbc
+from tradeweave.sources.tables import TradeTables, list_tables, read_csv, row_counts, versions_by_jdbc, year_parts
 
 
 @pytest.fixture(scope="module")
@@ -89,19 +89,27 @@ class _Reader:
         return "loaded"
 
 
-def test_large_database_tables_are_read_by_year():
+def test_large_database_tables_are_read_in_parts_of_years():
     class session:
         read = _Reader()
 
-    TradeTables.from_jdbc(session, "jdbc:postgresql:trade", {"user": "u"})
+    TradeTables.from_jdbc(session, "jdbc:postgresql:trade", {"user": "u"}, parts_per_year=4)
     calls = session.read.calls
     assert set(calls) == set(schemas.TABLES)
-    assert {n for n, o in calls.items() if "numPartitions" in o} == {"snet", "production", "consumption"}
-    assert calls["snet"]["column"] == "year" and calls["snet"]["numPartitions"] == 25
+    assert {n for n, o in calls.items() if "predicates" in o} == {"snet", "production", "consumption"}
+    assert len(calls["snet"]["predicates"]) == 26 * 4
     versions_by_jdbc(session, "jdbc:postgresql:trade", {"user": "u"})
     assert "GROUP BY year, hs_version" in calls["options"]["query"]
 
 
+@pytest.mark.parametrize("per_year", [1, 3, 8])
+def test_every_row_is_in_one_part(spark, per_year):
+    rows = [(y, k) for y in (None, 1900, 1996, 2019, 2020, 2021) for k in (None, -7, -1, 0, 1, 7, 8)]
+    df = spark.createDataFrame(rows, "year int, record_id long")
+    parts = sum((F.expr(p).cast("int") for p in map("coalesce({}, false)".format, year_parts(per_year))), F.lit(0))
+    assert {r.n for r in df.select(parts.alias("n")).collect()} == {1}
+
+
 def test_shared_folder_is_the_configured_one(spark, tmp_path):
     assert sinks.shared_dir(spark) == sinks.shared_dir(spark)
     again = sinks.materialise(spark.range(5).withColumn("x", F.lit("a")), "numbers")

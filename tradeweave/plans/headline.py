@@ -71,23 +71,14 @@ def fishmeal_totals(s: Study) -> DataFrame:
 
 def percent_export_lookups(s: Study) -> DataFrame:
     """Share of production exported, all sources and each category."""
-    totals = _metrics(
-        trade.percent_export_total(s),
-        {
-            f"percent_export_total{tag}_{y}": _pick("percent_export", year=y, calc_type=kind)
-            for tag, kind in (("_dom", "domestic exports"), ("", "all export sources"))
-            for y in (START, END)
-        },
+    shares = trade.export_shares(s, d.FOUR_SOURCES).withColumns(
+        {"_dom": percent("domestic", "domestic_production"), "_all": percent("everything", "production")}
     )
-    by_source = _metrics(
-        trade.percent_export_by_source(s),
-        {
-            f"percent_{_underscored(source)}_exported_{y}": _pick("percent_export", year=y, habitat_method=source)
-            for source in d.FOUR_SOURCES
-            for y in (START, END)
-        },
+    names = {"export_total_dom": "_dom", "export_total": "_all"}
+    names |= {f"{_underscored(source)}_exported": source for source in d.FOUR_SOURCES}
+    return _metrics(
+        shares, {f"percent_{name}_{y}": _pick(column, year=y) for name, column in names.items() for y in (START, END)}
     )
-    return stack(totals, by_source)
 
 
 def concentration_lookups(s: Study) -> DataFrame:

@@ -94,12 +94,13 @@ def percent_export_by_source(s: Study) -> DataFrame:
     return _domestic_with_production(s).withColumn("percent_export", percent("dom_live_weight_t", "production_t"))
 
 
-def percent_export_total(s: Study) -> DataFrame:
-    """Share of production exported per year, domestic origin only and all origins.
+def export_shares(s: Study, sources: Sequence[str] = ()) -> DataFrame:
+    """Per year: exports and production, of domestic origin and of all, and the share
+    of domestic production exported of each of the given categories.
 
-    The domestic share is missing in years with an unmatched category. Both shares
-    come from one pass over trade and one over production: everything after the
-    first sums is a few rows per year.
+    ``domestic_production`` is missing in years with an unmatched category. All comes
+    from one pass over trade and one over production: everything after the first sums
+    is a few rows per year.
     """
     domestic = F.when(F.col("dom_source") == "domestic", F.col(WEIGHT))
     exports = s.trade().groupBy("year", "habitat_method", "environment").agg(
@@ -119,9 +120,17 @@ def percent_export_total(s: Study) -> DataFrame:
         F.sum(exported).alias("domestic"),
         F.when(F.count(exported) == F.count(produced), F.sum(produced)).alias("domestic_production"),
         F.max("everything_year").alias("everything"),
+        *[F.max(F.when(F.col("habitat_method") == c, percent(exported, produced))).alias(c) for c in sources],
     )
     totals = production.groupBy("year").agg(strict_sum("production_t").alias("production_t"))
-    yearly = lookup(yearly, totals, {"year": "year"}, {"production": "production_t"})
+    return lookup(yearly, totals, {"year": "year"}, {"production": "production_t"})
+
+
+def percent_export_total(s: Study) -> DataFrame:
+    """Share of production exported per year, domestic origin only and all origins.
+
+    The domestic share is missing in years with an unmatched category.
+    """
 
     def series(calc_type: str, part: str, whole: str) -> Column:
         return F.struct(percent(part, whole).alias("percent_export"), F.lit(calc_type).alias("calc_type"))
@@ -132,7 +141,7 @@ def percent_export_total(s: Study) -> DataFrame:
             series("all export sources", "everything", "production"),
         )
     )
-    return yearly.select("year", F.explode(both).alias("series")).select("year", "series.*")
+    return export_shares(s).select("year", F.explode(both).alias("series")).select("year", "series.*")
 
 
 # -- network -------------------------------------------------------------------

@@ -41,18 +41,20 @@ class TradeTables:
         return cls(**{name: spark.table(prefix + name) for name in schemas.TABLES})
 
     @classmethod
-    def from_jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str]) -> TradeTables:
+    def from_jdbc(
+        cls, spark: SparkSession, url: str, properties: dict[str, str], parts_per_year: int = 8
+    ) -> TradeTables:
         """Tables in a database.
 
-        The large tables are read by ranges of years, in parallel; the first and the
-        last range are open, so no row is left out. Filters on plain columns, such as
-        the regime filter, become part of each range's query.
+        The large tables are read by years and, within a year, by remainders of the
+        record number, in parallel. Every row, also one without a year or a number,
+        is in exactly one part. Filters on plain columns, such as the regime filter,
+        become part of each part's query.
         """
 
         def read(name: str) -> DataFrame:
             if name in schemas.BY_YEAR:
-                ranges = {"column": "year", "lowerBound": FIRST_YEAR, "upperBound": LAST_YEAR}
-                return spark.read.jdbc(url, name, **ranges, numPartitions=LAST_YEAR - FIRST_YEAR, properties=properties)
+                return spark.read.jdbc(url, name, predicates=year_parts(parts_per_year), properties=properties)
             return spark.read.jdbc(url, name, properties=properties)
 
         return cls(**{name: read(name) for name in schemas.TABLES})
@@ -61,6 +63,17 @@ class TradeTables:
         return [f.name for f in fields(self)]
 
 
+def year_parts(per_year: int) -> list[str]:
+    """Conditions that share rows out by year and by remainder of the record number."""
+    years = [f"year = {y}" for y in range(FIRST_YEAR, LAST_YEAR)]
+    years += [f"(year < {FIRST_YEAR} OR year >= {LAST_YEAR} OR year IS NULL)"]
+    if per_year < 2:
+        return years
+    rests = [f"ABS(MOD(record_id, {per_year})) = {k}" for k in range(per_year)]
+    rests[0] = f"({rests[0]} OR record_id IS NULL)"
+    return [f"{year} AND {rest}" for year in years for rest in rests]
+
+
 def versions_by_jdbc(spark: SparkSession, url: str, properties: dict[str, str]) -> DataFrame:
     """Product weight by year and version, summed inside the database."""
     query = (
