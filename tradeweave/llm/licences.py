@@ -30,19 +30,19 @@ SENTENCES = (
     ("apache_copy", r"you may obtain a copy of the licen[cs]e at"),
     ("apache_unless", r"unless required by applicable law or agreed to in writing"),
     ("apache_see", r"see the licen[cs]e for the specific language governing permissions"),
-    ("by_gpl3", r"under the (terms of the )?gnu general public licen[cs]e,? (as published by the free software foundation, (either )?)?version 3"),
-    ("by_gpl2", r"under the (terms of the )?gnu general public licen[cs]e,? (as published by the free software foundation, (either )?)?version 2"),
+    ("by_gpl3", r"under the (terms of the )?gnu general public licen[cs]e,? (as published by the free software foundation[,;] (either )?)?version 3"),
+    ("by_gpl2", r"under the (terms of the )?gnu general public licen[cs]e,? (as published by the free software foundation[,;] (either )?)?version 2"),
     ("by_agpl3", r"under the (terms of the )?gnu affero general public licen[cs]e"),
     ("by_lgpl", r"under the (terms of the )?gnu (lesser|library) general public licen[cs]e"),
     ("gpl_later", r"\bor \(?at your option\)? any later version"),
     ("gpl_hope", r"in the hope that it will be useful, but without any warranty"),
     ("gpl_received", r"you should have received a copy of the gnu (affero |lesser |library )?general public licen[cs]e"),
     ("by_mpl2", r"subject to the terms of the mozilla public licen[cs]e,? v\. ?2\.0"),
-    ("by_cc_by_nc_sa", r"cc[ -]by-nc-sa"),
-    ("by_cc_by_nc_nd", r"cc[ -]by-nc-nd"),
-    ("by_cc_by_nc", r"cc[ -]by-nc"),
-    ("by_cc_by_sa", r"cc[ -]by-sa"),
-    ("by_cc_by_nd", r"cc[ -]by-nd"),
+    ("by_cc_by_nc_sa", r"cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike"),
+    ("by_cc_by_nc_nd", r"cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv"),
+    ("by_cc_by_nc", r"cc[ -]by-nc|creative commons attribution-noncommercial"),
+    ("by_cc_by_sa", r"cc[ -]by-sa|creative commons attribution-sharealike"),
+    ("by_cc_by_nd", r"cc[ -]by-nd|creative commons attribution-noderiv"),
     ("by_cc_by", r"cc[ -]by\b|creative commons attribution"),
     ("by_cc0", r"cc0\b|public domain dedication"),
     ("mit_grant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
@@ -100,8 +100,12 @@ WEAKER = {
     "BSD-3-Clause": ("BSD-2-Clause",),
 }
 COMMENT = r"(?m)^[ \t]*(//+|/\*+|\*+/?|#+|;+|--+|<!--|%+)[ \t]*"
-#: A sentence ends at a stop before white space, or at an empty line.
-STOP = r"([.!?:;])\s+|\n\s*\n"
+#: A sentence ends at a stop before white space, or at an empty line; not after the colon
+#: of an SPDX tag, after "v." before a number, nor at the ";" before the version of a GPL.
+STOP = (
+    r"((?<!spdx-license-identifier):|(?!(?<=\bv)\.\s+[0-9])\.|[!?]|;(?!\s+(?:either\s+)?version\s+[0-9]))\s+"
+    r"|\n\s*\n"
+)
 BREAK = "\u0001"
 UNKNOWN = "unknown"
 
