@@ -123,3 +123,25 @@ def test_standard_notices(spark, sign):
 def test_gpl2_notice_is_not_cut_at_its_semicolon(spark):
     (r,) = scan(spark, [GPL2])
     assert {"by_gpl2", "gpl_received"} <= set(r["sequence"])
+
+
+def test_a_sentence_gives_all_its_licences(spark):
+    texts = {
+        GPL3: ["GPL-3.0-or-later"],
+        GPL2: ["GPL-2.0-or-later"],
+        "Licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "Released under the MIT license and licensed under the Apache License, Version 2.0": ["MIT", "Apache-2.0"],
+        "Licensed under the MIT License or the Apache License, Version 2.0, at your option.": ["MIT", "Apache-2.0"],
+        "Licensed under either of Apache License, Version 2.0 (LICENSE-APACHE) or MIT license": ["MIT", "Apache-2.0"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "SPDX-License-Identifier: (BSD-3-Clause AND GPL-2.0-only)": ["GPL-2.0", "BSD-3-Clause"],
+        "Licensed under CC-BY-NC-SA": ["CC-BY-NC-SA"],
+        "The license is CC BY-SA 4.0 for texts and CC BY 4.0 for pictures": ["CC-BY-SA", "CC-BY"],
+    }
+    got = scan(spark, texts)
+    assert [r["licences"] for r in got] == list(texts.values())
+    assert [r["n_sentences"] for r in got[2:]] == [1] * 8
+    # in the order in which they stand
+    (r,) = scan(spark, ["This permission notice and that the above copyright notice and this permission notice shall be included, "
+                        "and permission is hereby granted, free of charge, to any person obtaining a copy"])
+    assert r["sequence"] == ["mit_notice", "mit_grant"] and r["licences"] == []

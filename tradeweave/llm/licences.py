@@ -3,7 +3,8 @@
 The lines of a text are stripped of comment signs and joined, cut into sentences and
 lower-cased. Sentences that speak of licensing are mapped to identifiers of known
 licence sentences; the sequence of identifiers is matched against ordered rules. A
-speaking sentence that is not known is reported as unknown.
+speaking sentence that is not known is reported as unknown; one that holds several
+identifiers gives all of them.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from pyspark.sql import functions as F
 #: Words one of which any licence sentence holds. Fixed values.
 SPEAKS = r"licen[cs]e|copyright|warrant(y|ies)|permission|redistribut|\bliab(le|ility)\b|spdx|public domain|provided [^a-z]?as is|\bgpl\b|endorse or promote|creative commons"
 
+#: What may stand before the licence that is looked for, in an SPDX expression or a list of two.
+SPDX = r"spdx-license-identifier: ?(?:[a-z0-9.+()-]+ (?:and|or|with) )*\(*"
+LISTED = r"(?:either (?:of )?)?(?:the )?(?:(?:mit|expat|apache) licen[cs]e,? ?(?:\(?(?:version |v)?2\.0\)?)?,?(?: \([^()]*\))? ?(?:and/or|and|or) (?:the )?)?"
 #: Known licence sentences: identifier and pattern of the normalised sentence. Fixed values.
 SENTENCES = (
-    ("spdx_mit", r"spdx-license-identifier: ?mit\b"),
-    ("spdx_apache2", r"spdx-license-identifier: ?apache-2\.0"),
-    ("spdx_gpl2", r"spdx-license-identifier: ?gpl-2\.0"),
-    ("spdx_gpl3", r"spdx-license-identifier: ?gpl-3\.0"),
-    ("spdx_bsd3", r"spdx-license-identifier: ?bsd-3-clause"),
-    ("spdx_bsd2", r"spdx-license-identifier: ?bsd-2-clause"),
-    ("spdx_mpl2", r"spdx-license-identifier: ?mpl-2\.0"),
-    ("spdx_isc", r"spdx-license-identifier: ?isc\b"),
-    ("by_mit", r"(released|licensed|distributed|available) under (the )?(terms of )?(the )?(mit|expat) licen[cs]e"),
-    ("by_apache2", r"licensed under the apache licen[cs]e,? (version )?2\.0"),
+    ("spdx_mit", SPDX + r"mit\b"),
+    ("spdx_apache2", SPDX + r"apache-2\.0"),
+    ("spdx_gpl2", SPDX + r"gpl-2\.0"),
+    ("spdx_gpl3", SPDX + r"gpl-3\.0"),
+    ("spdx_bsd3", SPDX + r"bsd-3-clause"),
+    ("spdx_bsd2", SPDX + r"bsd-2-clause"),
+    ("spdx_mpl2", SPDX + r"mpl-2\.0"),
+    ("spdx_isc", SPDX + r"isc\b"),
+    ("by_mit", r"(released|licensed|distributed|available) under (the )?(terms of )?" + LISTED + r"(mit|expat) licen[cs]e"),
+    ("by_apache2", r"licensed under (the terms of )?" + LISTED + r"apache licen[cs]e,? (version )?2\.0"),
     ("apache_not", r"you may not use this file except in compliance with the licen[cs]e"),
     ("apache_copy", r"you may obtain a copy of the licen[cs]e at"),
     ("apache_unless", r"unless required by applicable law or agreed to in writing"),
@@ -40,10 +44,10 @@ SENTENCES = (
     ("by_mpl2", r"subject to the terms of the mozilla public licen[cs]e,? v\. ?2\.0"),
     ("by_cc_by_nc_sa", r"cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike"),
     ("by_cc_by_nc_nd", r"cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv"),
-    ("by_cc_by_nc", r"cc[ -]by-nc|creative commons attribution-noncommercial"),
+    ("by_cc_by_nc", r"cc[ -]by-nc(?!-[sn])|creative commons attribution-noncommercial(?!-[sn])"),
     ("by_cc_by_sa", r"cc[ -]by-sa|creative commons attribution-sharealike"),
     ("by_cc_by_nd", r"cc[ -]by-nd|creative commons attribution-noderiv"),
-    ("by_cc_by", r"cc[ -]by\b|creative commons attribution"),
+    ("by_cc_by", r"cc[ -]by\b(?!-[sn])|creative commons attribution(?!-[sn])"),
     ("by_cc0", r"cc0\b|public domain dedication"),
     ("mit_grant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included"),
@@ -120,14 +124,19 @@ def sentences(text: Column) -> Column:
 
 
 def identifiers(spoken: Column) -> Column:
-    """The identifier of every sentence; the first pattern that it holds decides."""
+    """The identifiers that every sentence holds, where they first stand in it.
+
+    Of the patterns of one family the special ones exclude the general one by themselves.
+    """
 
     def known(s: Column) -> Column:
-        first, *rest = SENTENCES
-        case = F.when(s.rlike(first[1]), first[0])
-        for name, pattern in rest:
-            case = case.when(s.rlike(pattern), name)
-        return case.otherwise(UNKNOWN)
+        places = [
+            F.struct(F.regexp_instr(s, F.lit(pattern)).alias("at"), F.lit(i).alias("nth"), F.lit(name).alias("name"))
+            for i, (name, pattern) in enumerate(SENTENCES)
+        ]
+        held = F.filter(F.array(*places), lambda p: p["at"] > 0)
+        names = F.transform(F.array_sort(held), lambda p: p["name"])
+        return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(UNKNOWN)))
 
     return F.transform(spoken, known)
 
@@ -151,7 +160,8 @@ def licences(docs: DataFrame) -> DataFrame:
     """
     text = docs["text"]
     spoken = F.when(F.lower(text).rlike(SPEAKS), sentences(text)).otherwise(F.array().cast("array<string>"))
-    out = docs.select(docs["doc_id"].alias("doc_id"), identifiers(spoken).alias("sequence"))
+    out = docs.select(docs["doc_id"].alias("doc_id"), identifiers(spoken).alias("_found"))
+    out = out.withColumn("sequence", F.flatten("_found"))
     joined = F.concat(F.lit(" "), F.array_join("sequence", "  "), F.lit(" "))
     held = {}
     for name, ids in RULES:
@@ -170,7 +180,7 @@ def licences(docs: DataFrame) -> DataFrame:
         "doc_id",
         "sequence",
         F.array_compact(F.array(*found)).alias("licences"),
-        F.size("sequence").cast("long").alias("n_sentences"),
+        F.size("_found").cast("long").alias("n_sentences"),
         F.size(F.filter("sequence", lambda s: s == UNKNOWN)).cast("long").alias("n_unknown"),
     )
 
