@@ -145,3 +145,58 @@ def test_a_sentence_gives_all_its_licences(spark):
     (r,) = scan(spark, ["This permission notice and that the above copyright notice and this permission notice shall be included, "
                         "and permission is hereby granted, free of charge, to any person obtaining a copy"])
     assert r["sequence"] == ["mit_notice", "mit_grant"] and r["licences"] == []
+
+
+#: One example of every pattern, without other words of licensing where it can do without.
+EXAMPLES = {
+    "spdx_mit": "SPDX-License-Identifier: MIT",
+    "spdx_apache2": "SPDX-License-Identifier: Apache-2.0",
+    "spdx_gpl2": "SPDX-License-Identifier: GPL-2.0",
+    "spdx_gpl3": "SPDX-License-Identifier: GPL-3.0",
+    "spdx_bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx_bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx_mpl2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx_isc": "SPDX-License-Identifier: ISC",
+    "by_mit": "available under the Expat licence",
+    "by_apache2": "licensed under the Apache License 2.0",
+    "apache_not": "you may not use this file except in compliance with the License",
+    "apache_copy": "You may obtain a copy of the License at",
+    "apache_unless": "Unless required by applicable law or agreed to in writing",
+    "apache_see": "See the License for the specific language governing permissions",
+    "by_gpl3": "under the GNU General Public License version 3",
+    "by_gpl2": "under the GNU General Public License version 2",
+    "by_agpl3": "under the GNU Affero General Public License",
+    "by_lgpl": "under the GNU Lesser General Public License",
+    "gpl_later": "or (at your option) any later version",
+    "gpl_hope": "in the hope that it will be useful, but without any warranty",
+    "gpl_received": "You should have received a copy of the GNU General Public License",
+    "by_mpl2": "subject to the terms of the Mozilla Public License, v. 2.0",
+    "by_cc_by_nc_sa": "CC BY-NC-SA 4.0",
+    "by_cc_by_nc_nd": "cc-by-nc-nd",
+    "by_cc_by_nc": "cc-by-nc",
+    "by_cc_by_sa": "CC BY-SA 4.0",
+    "by_cc_by_nd": "CC BY-ND",
+    "by_cc_by": "CC BY 4.0",
+    "by_cc0": "CC0",
+    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "mit_notice": "The above copyright notice and this permission notice shall be included",
+    "isc_grant": "Permission to use, copy, modify, and distribute this software",
+    "as_is": "The work is provided as is",
+    "no_liability": "In no event shall the regents pay",
+    "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd_source": "Redistributions of source code must retain the above copyright notice",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd_endorse": "The names of others may not be used to endorse or promote products",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "all_rights": "All rights reserved.",
+    "copyright": "Copyright (c) me",
+}
+
+
+def test_every_pattern_gets_past_the_filters(spark):
+    assert list(EXAMPLES) == [name for name, _ in licences.SENTENCES]
+    # as they are, and with every word on a commented line of its own
+    texts = [*EXAMPLES.values(), *("// " + t.replace(" ", "\n// ") for t in EXAMPLES.values())]
+    lost = [(n, r["sequence"]) for n, r in zip([*EXAMPLES] * 2, scan(spark, texts), strict=True) if n not in r["sequence"]]
+    assert not lost, (len(lost), lost)
+    assert [r["sequence"] for r in scan(spark, ["a public event, later", "", None])] == [[], [], []]

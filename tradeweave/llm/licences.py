@@ -12,8 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words one of which any licence sentence holds. Fixed values.
-SPEAKS = r"licen[cs]e|copyright|warrant(y|ies)|permission|redistribut|\bliab(le|ility)\b|spdx|public domain|provided [^a-z]?as is|\bgpl\b|endorse or promote|creative commons"
+#: Words and phrases one of which any known licence sentence holds. Fixed values.
+SPEAKS = (
+    r"licen[cs]e|copyright|warrant(y|ies)|permission|redistribut|\bliab(le|ility)\b|spdx|public domain|provided [^a-z]?as is|\bgpl\b|endorse or promote|creative commons"
+    r"|\bcc[ -]by|\bcc0\b|all rights reserved|or \(?at your option\)? any later version"
+    r"|unless required by applicable law|in no event (shall|will) the"
+)
+#: Single words one of which any text with such a sentence holds: phrases may run over lines.
+MAY_SPEAK = r"licen[cs]e|copyright|warrant|permission|redistribut|\bliab|spdx|public|provided|\bgpl\b|endorse|commons|\bcc\b|\bcc0|reserved|later|applicable|event"
 
 #: What may stand before the licence that is looked for, in an SPDX expression or a list of two.
 SPDX = r"spdx-license-identifier: ?(?:[a-z0-9.+()-]+ (?:and|or|with) )*\(*"
@@ -42,13 +48,13 @@ SENTENCES = (
     ("gpl_hope", r"in the hope that it will be useful, but without any warranty"),
     ("gpl_received", r"you should have received a copy of the gnu (affero |lesser |library )?general public licen[cs]e"),
     ("by_mpl2", r"subject to the terms of the mozilla public licen[cs]e,? v\. ?2\.0"),
-    ("by_cc_by_nc_sa", r"cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike"),
-    ("by_cc_by_nc_nd", r"cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv"),
-    ("by_cc_by_nc", r"cc[ -]by-nc(?!-[sn])|creative commons attribution-noncommercial(?!-[sn])"),
-    ("by_cc_by_sa", r"cc[ -]by-sa|creative commons attribution-sharealike"),
-    ("by_cc_by_nd", r"cc[ -]by-nd|creative commons attribution-noderiv"),
-    ("by_cc_by", r"cc[ -]by\b(?!-[sn])|creative commons attribution(?!-[sn])"),
-    ("by_cc0", r"cc0\b|public domain dedication"),
+    ("by_cc_by_nc_sa", r"\bcc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike"),
+    ("by_cc_by_nc_nd", r"\bcc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv"),
+    ("by_cc_by_nc", r"\bcc[ -]by-nc(?!-[sn])|creative commons attribution-noncommercial(?!-[sn])"),
+    ("by_cc_by_sa", r"\bcc[ -]by-sa|creative commons attribution-sharealike"),
+    ("by_cc_by_nd", r"\bcc[ -]by-nd|creative commons attribution-noderiv"),
+    ("by_cc_by", r"\bcc[ -]by\b(?!-[sn])|creative commons attribution(?!-[sn])"),
+    ("by_cc0", r"\bcc0\b|public domain dedication"),
     ("mit_grant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included"),
     ("isc_grant", r"permission to use, copy, modify, (and/or|and) distribute this software"),
@@ -159,7 +165,7 @@ def licences(docs: DataFrame) -> DataFrame:
     Rows are looked at one by one: repeated or missing ids need no care.
     """
     text = docs["text"]
-    spoken = F.when(F.lower(text).rlike(SPEAKS), sentences(text)).otherwise(F.array().cast("array<string>"))
+    spoken = F.when(F.lower(text).rlike(MAY_SPEAK), sentences(text)).otherwise(F.array().cast("array<string>"))
     out = docs.select(docs["doc_id"].alias("doc_id"), identifiers(spoken).alias("_found"))
     out = out.withColumn("sequence", F.flatten("_found"))
     joined = F.concat(F.lit(" "), F.array_join("sequence", "  "), F.lit(" "))
