@@ -54,12 +54,29 @@ class Chain:
     bias: float = -6.0
     #: Weights of 1 and of the document's evidence in its score.
     document: tuple[float, ...] = (-4.0, 0.0, 4.0)
+    _settled: tuple | None = field(default=None, repr=False, compare=False)
 
     def weight(self, word: str) -> float:
         """What a word adds to the bias."""
         word = word.lower()
         return self.words.get(word, 0.0) + self.beginnings.get(word[:BEGINNING], 0.0)
 
+    def settled(self) -> tuple[float, float]:
+        """The forward and backward log-odds far from any weighted token, found once per chain."""
+        key = (self.step, self.bias)
+        if self._settled is None or self._settled[0] != key:
+            (a00, a01), (a10, a11) = [[math.exp(min(x, 50.0)) for x in row] for row in self.step]
+            e = math.exp(min(self.bias, 50.0))
+            b = a00 - a11 * e
+
+            def fixed(into: float, out: float) -> float:
+                """Log of the positive root r of r = (into + a11 e r) / (a00 + out e r)."""
+                root = math.sqrt(b * b + 4 * into * out * e)
+                return math.log(2 * into / (b + root) if b > 0 else (root - b) / (2 * out * e))
+
+            self._settled = (key, (fixed(a01, a10), fixed(a10, a01)))
+        return self._settled[1]
+
     def marginals(self, weights: list[tuple[int, float]], n: int) -> list[tuple[int, float]]:
         """(position, probability) of the tokens with weights and their neighbours.
 
@@ -78,7 +95,7 @@ class Chain:
             r = math.exp(min(z, 50.0))
             return math.log((a10 + a11 * r) / (a00 + a01 * r))
 
-        def sweep(items, first: int, move, sign: int) -> dict[int, float]:
+        def sweep(items, first: int, move, sign: int, fixed: float) -> dict[int, float]:
             """Message into each position that is near a weighted one, own weight excluded."""
             into: dict[int, float] = {}
             at, message, settled = first, 0.0, False
@@ -86,7 +103,7 @@ class Chain:
                 while at != place and not settled:
                     into[at] = message
                     new = move(bias + message)
-                    settled = abs(new - message) < 1e-9
+                    settled = abs(new - fixed) < 1e-9
                     message, at = new, at + sign
                 at = place
                 into[at] = message
@@ -94,17 +111,17 @@ class Chain:
             while 0 <= at < n and not settled:
                 into[at] = message
                 new = move(bias + message)
-                settled = abs(new - message) < 1e-9
+                settled = abs(new - fixed) < 1e-9
                 message, at = new, at + sign
-            into[-1] = message  # settled
             return into
 
-        fore = sweep(weights, 0, ahead, 1)
-        rear = sweep(weights[::-1], n - 1, back, -1)
+        ahead_fixed, back_fixed = self.settled()
+        fore = sweep(weights, 0, ahead, 1, ahead_fixed)
+        rear = sweep(weights[::-1], n - 1, back, -1, back_fixed)
         own = dict(weights)
         out = []
-        for at in sorted((fore.keys() | rear.keys()) - {-1}):
-            z = bias + own.get(at, 0.0) + fore.get(at, fore[-1]) + rear.get(at, rear[-1])
+        for at in sorted(fore.keys() | rear.keys()):
+            z = bias + own.get(at, 0.0) + fore.get(at, ahead_fixed) + rear.get(at, back_fixed)
             out.append((at, 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))))
         return out
 
