@@ -244,7 +244,7 @@ def test_licence_rules_need_their_sentences_in_order(spark):
     later = "This work is licensed under the GNU General Public License, version 3, or (at your option) any later version."
     texts = [(1, f"// {grant}\n// {notice}"), (2, f"{notice} {grant}"), (3, "Released under the MIT license"), (4, later), (5, "A licence of my own.")]
     out = {r["doc_id"]: r for r in licences.licences(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert [out[i]["licences"] for i in range(1, 6)] == [["MIT"], [], ["MIT"], ["GPL-3.0"], []]
+    assert [out[i]["licences"] for i in range(1, 6)] == [["MIT"], [], ["MIT"], ["GPL-3.0-or-later"], []]
     assert out[5]["n_unknown"] == 1
 
 
