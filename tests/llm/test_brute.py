@@ -10,7 +10,7 @@ from tradeweave.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     result = con.execute(queries.SQL[name])

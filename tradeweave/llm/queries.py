@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from tradeweave.llm import (
+    clusters,
+    contamination,
     exact_dup,
     language,
     licences,
     mixing,
     near_dup,
     packing,
+    runs,
     simple8b,
     toxicity,
     vectors,
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_embeddings": vectors.op9_embeddings,
     "op10_licences": licences.op10_licences,
+    "op11_contamination": contamination.op11_contamination,
+    "op12_runs": runs.op12_runs,
+    "op13_clusters": clusters.op13_clusters,
 }
 
 SQL = {
     "op3_mix": mixing.SQL,
     "op7_exact_dedup": exact_dup.SQL,
     "op8_warc": warc.SQL,
+    "op11_contamination": contamination.SQL,
+    "op13_clusters": clusters.SQL,
 }
