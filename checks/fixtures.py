@@ -12,7 +12,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeweave.plans.study import Study
-from tradeweave.sources import schemas
+from tradeweave.sources import regimes, schemas, sinks
+
+# Versions that count in another reading of the data: the newest from 2016 on, the oldest before 2000.
+LATE_REGIME = (("HS96", None, 1999), ("HS17", 2016, None))
+
+# Country names as customers spell them; whose they are is stated in the SQL.
+COUNTRY_SPELLINGS = (
+    "Afghanistan", "ANGOLA", "bangladesh", "Bénin", " Bhutan ", "Burkina-Faso", "Burkina Faso", "Burundi",
+    "Cambodia", "Central African Republic", "Central African Rep", "Chad", "Comoros", "COMORES",
+    "Congo, Dem. Rep.", "DR Congo", "Democratic Republic of the Congo", "DJIBOUTI", "Eritrea", "Ethiopia",
+    "Gambia", "the gambia", "Guinea", "Guinea-Bissau", "Guinea Bissau", "Haïti", "Kiribati",
+    "Lao People’s Dem. Republic", "Lao People's Dem. Republic", "lao pdr", "Lesotho", "liberia", "Madagascar",
+    "Malawi", "Mali", "Mauritania", "Mozambique", "Myanmar", "BURMA", "Népal", "Niger", "Niger.", "Rwanda",
+    "Sao Tome and Principe", "São Tomé & Príncipe", "Sénégal", "Sierra  Leone", "Solomon Islands", "Solomon Is",
+    "Somalia", "South Sudan", "S. Sudan", "Sudan", "Timor-Leste", "timor leste", "East Timor", "Togo", "Tuvalu",
+    "Uganda", "United Republic of Tanzania", "Tanzania", "Yemen", "Yemen, Rep.", "Zambia",
+    "Nigeria", "Equatorial Guinea", "Republic of the Congo", "Mauritius", "Sudan (former)", "", "Dominican Republic",
+    "Zambiaa", "Niger ia", None,
+)
 
 LDC_CODES = ("N00", "N03", "N05", "N08", "N10", "N13")
 CENTROID_OVERRIDES = {"N07": (172.9717, 1.4518)}
@@ -207,6 +225,39 @@ class FixtureTables:
         )
 
 
+    def laid_out(self) -> tuple[DataFrame, DataFrame]:
+        """Trade written by version and year, and a table of regimes, read back.
+
+        Written once for a data folder, and deleted when the process ends.
+        """
+        return _laid_out(*self._at)
+
+    def csv_lines(self) -> DataFrame:
+        """Customers as lines of CSV: number, country, value. Of ten lines, one has no
+        number in the first cell, one is short, one long, one has a broken value; the
+        missing ones are spelled "NA" or left empty."""
+        spark, sf_dir = self._at
+        n, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 10
+        country, value = code("c_nationkey"), (F.col("c_nationkey") * 100 + 7).cast("string")
+        cells = F.when(kind == 1, F.concat_ws(",", F.concat(F.lit("x"), n), country, value))
+        cells = cells.when(kind == 2, F.concat_ws(",", n, country))
+        cells = cells.when(kind == 3, F.concat_ws(",", n, country, value, F.lit("more")))
+        cells = cells.when(kind == 4, F.concat_ws(",", n, country, F.lit("NA")))
+        cells = cells.when(kind == 5, F.concat_ws(",", n, F.lit("NA"), value))
+        cells = cells.when(kind == 6, F.concat_ws(",", n, country, F.lit("12.5")))
+        cells = cells.when(kind == 7, F.concat(n, F.lit(","), country, F.lit(",")))
+        return base(spark, sf_dir, "customer").select(cells.otherwise(F.concat_ws(",", n, country, value)).alias("value"))
+
+
+@lru_cache(maxsize=8)
+def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    root = sinks.passing_folder(spark, "laid-out")
+    sinks.write_tables(FixtureTables(spark, sf_dir), root, ["snet"])
+    table = regimes.regime_table(spark).unionByName(regimes.regime_table(spark, LATE_REGIME, "late"))
+    table.coalesce(1).write.parquet(f"{root}/regimes")
+    return spark.read.schema(schemas.SNET).parquet(f"{root}/snet"), spark.read.schema(regimes.SCHEMA).parquet(f"{root}/regimes")
+
+
 @lru_cache(maxsize=8)
 def study(spark: SparkSession, sf_dir: str) -> Study:
     """The study over a data folder. Only plans are kept between calls, no data."""

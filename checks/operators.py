@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tradeweave.functions import columns as c
 from tradeweave.functions import domains as d
@@ -15,7 +17,8 @@ from tradeweave.operators import joins, network, reshape, windows
 from tradeweave.plans import headline, lastmile, study, supply, trade
 from tradeweave.plans.study import Study
 from tradeweave.sources import sinks
-from tradeweave.sources.tables import read_csv, row_counts
+from tradeweave.sources.regimes import in_regime_table
+from tradeweave.sources.tables import TradeTables, list_tables, read_csv, read_csv_checked, register, row_counts
 
 WEIGHT, TONNES = trade.WEIGHT, supply.TONNES
 OPERATORS: dict[str, Callable[[Study], DataFrame]] = {}
@@ -74,13 +77,46 @@ def scan_aggregate_pushdown(s):
 
 
 @operator
-def list_tables(s):
+def table_rows(s):
     return row_counts(s.tables)
 
 
+@operator
+def catalog(s):
+    """Tables, columns and types as the session's catalog lists them, with the rows that
+    are read back from it. The views go again; plans made from them stay."""
+    spark = s.tables.snet.sparkSession
+    prefix = f"t{uuid.uuid4().hex}_"
+    names = register(s.tables, prefix)
+    try:
+        listed = list_tables(spark, pattern=f"{prefix}*")
+        counts = row_counts(TradeTables.from_catalog(spark, prefix=prefix))
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
+    listed = listed.withColumn("table_name", F.substring("table_name", len(prefix) + 1, 99))
+    return joins.lookup(listed, counts, {"table_name": "table_name"}, {"n_rows": "n_rows"}).select(
+        "table_name", "position", "column_name", "data_type", "n_rows"
+    )
+
+
+@operator
+def scan_trade_laid_out(s):
+    """Trade stored by version and year, of the versions that a table names."""
+    snet, regimes = s.tables.laid_out()
+    return in_regime_table(snet, regimes)
+
+
+@operator
+def custom_regime_exports(s):
+    """Exports by category where other versions count than the published ones."""
+    _, regimes = s.tables.laid_out()
+    return trade.export_by_source(replace(s, regimes=regimes, regime="late"))
+
+
 def _through_csv(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{sinks.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = sinks.passing_folder(spark, name)
     sinks.write_csv(df, path)
     return read_csv(spark, path, df.schema)
 
@@ -95,6 +131,18 @@ def write_csv_table(s):
     return _through_csv(trade.dom_export_by_source(s), "dom_export_csv")
 
 
+@operator
+def read_csv_rejected(s):
+    """Customers written as lines of CSV, some of which do not fit: what is read, and what is set aside."""
+    lines = s.tables.csv_lines()
+    spark = lines.sparkSession
+    path = sinks.passing_folder(spark, "lines_csv")
+    lines.write.text(path)
+    schema = StructType([StructField("record_id", LongType()), StructField("iso3c", StringType()), StructField("pop", LongType())])
+    checked = read_csv_checked(spark, path, schema, header=False)
+    return reshape.stack(checked.rows, checked.rejected.select("record"))
+
+
 @operator
 def centroid_source(s):
     return s.tables.centroids
@@ -258,6 +306,18 @@ def hs_version_factor(s):
 # -- joins ---------------------------------------------------------------------
 
 
+@operator
+def dimension_contract(s):
+    """How the keys of the dimensions hold; only species may have several rows."""
+    t = s.tables
+    return reshape.stack(
+        joins.key_report(t.countries, ["iso3c"], "countries"),
+        joins.key_report(t.population, ["iso3c", "year"], "population"),
+        joins.key_report(t.sciname, ["sciname"], "sciname"),
+        joins.key_report(t.consumption, ["consumer_iso3c", "year"], "consumption"),
+    )
+
+
 @operator
 def population_region(s):
     return s.population()
@@ -630,6 +690,8 @@ def in_list(s):
 
 # Keys that are not Python-friendly names for a function above.
 for old, new in (
+    ("table_rows", "row_counts"),
+    ("catalog", "list_tables"),
     ("read_csv_table", "read_csv"),
     ("write_csv_table", "write_csv"),
     ("filter_rows", "filter"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checks.fixtures import COUNTRY_SPELLINGS
 from checks.oracle_tables import (
     LEVELS,
     NONFOOD,
@@ -16,6 +17,10 @@ from checks.oracle_tables import (
 SQL: dict[str, str] = {}
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def add(name: str, columns: str, query: str) -> None:
     """Register a query with its output columns.
 
@@ -65,7 +70,7 @@ table("scan_population", "iso3c year pop", "population")
 table("trade_ts_by_version", "year hs_version product_weight_t:d", "version_ts")
 same("scan_aggregate_pushdown", "trade_ts_by_version")
 add(
-    "list_tables",
+    "row_counts",
     "table_name n_rows",
     " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {source}"
@@ -81,6 +86,57 @@ add(
         )
     ),
 )
+COLUMNS = {
+    "snet": "record_id bigint, year int, hs_version string, hs6 int, exporter_iso3c string, importer_iso3c string, "
+    "sciname string, habitat string, method string, dom_source string, live_weight_t decimal(18,2), "
+    "product_weight_t decimal(18,2)",
+    "production": "record_id bigint, iso3c string, year int, sciname string, method string, habitat string, "
+    "live_weight_t decimal(18,2)",
+    "countries": "record_id int, iso3c string, owid_region string",
+    "code_max_resolved_taxa": "hs6 int, record_id bigint",
+    "sciname": "sciname string, record_id bigint, common_name string",
+    "population": "record_id bigint, iso3c string, year int, pop bigint",
+    "consumption": "record_id bigint, year int, hs_version string, consumer_iso3c string, source_country_iso3c string, "
+    "sciname_hs_modified string, habitat string, method string, consumption_source string, "
+    "consumption_live_t decimal(18,2)",
+    "centroids": "iso3 string, adm1_code string, centroid_lon double, centroid_lat double",
+}
+SOURCES = {"code_max_resolved_taxa": "taxa_codes", "sciname": "species_names"}
+add(
+    "list_tables",
+    "table_name position column_name data_type n_rows",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, c.position, c.column_name, c.data_type, "
+        f"(SELECT count(*) FROM {SOURCES.get(name, name)}) AS n_rows FROM (VALUES "
+        + ", ".join(f"({i + 1}, '{x.split()[0]}', '{x.split()[1]}')" for i, x in enumerate(columns.split(", ")))
+        + ") AS c(position, column_name, data_type)"
+        for name, columns in COLUMNS.items()
+    ),
+)
+add(
+    "scan_trade_laid_out",
+    SNET.replace(" sciname", ""),
+    f"""SELECT record_id, year, hs_version, hs6, exporter_iso3c, importer_iso3c, habitat, method, dom_source,
+      live_weight_t, product_weight_t FROM snet WHERE {REGIME}""",
+)
+add(
+    "custom_regime_exports",
+    "year habitat_method live_weight_t:d",
+    f"""SELECT year, {category("habitat", "method")} AS habitat_method, sum(live_weight_t) AS live_weight_t FROM snet
+    WHERE ((hs_version = 'HS96' AND year < 2000) OR (hs_version = 'HS17' AND year > 2015))
+      AND live_weight_t IS NOT NULL AND product_weight_t IS NOT NULL AND live_weight_t >= 0.1
+      AND (hs6 IS NULL OR hs6 NOT IN (230120, 30110, 30111, 30119)) GROUP BY 1, 2""",
+)
+add(
+    "read_csv_rejected",
+    "record_id iso3c pop record",
+    """SELECT CASE WHEN fits THEN n END AS record_id, CASE WHEN fits AND kind <> 5 THEN country END AS iso3c,
+      CASE WHEN fits AND kind NOT IN (4, 7) THEN pop END AS pop,
+      CASE kind WHEN 1 THEN 'x' || n || ',' || country || ',' || pop WHEN 2 THEN n || ',' || country
+        WHEN 3 THEN n || ',' || country || ',' || pop || ',more' WHEN 6 THEN n || ',' || country || ',12.5' END AS record
+    FROM (SELECT c_custkey AS n, c_custkey % 10 AS kind, (c_custkey % 10) NOT IN (1, 2, 3, 6) AS fits,
+      concat('N', lpad(CAST(c_nationkey AS STRING), 2, '0')) AS country, CAST(c_nationkey * 100 + 7 AS BIGINT) AS pop FROM customer)""",
+)
 add("read_csv", "record_id iso3c year pop", "SELECT * FROM population")
 table("write_csv", "year habitat_method environment dom_live_weight_t:d", "dom_exports")
 table("centroid_source", "iso3 adm1_code centroid_lon:r centroid_lat:r", "centroids")
@@ -232,6 +288,12 @@ same("union_tagged", "percent_export_total")
 table("all_degree_summary", "year iso3c all_out_degree all_in_degree", "degree")
 table("habitat_method_degree_summary", "year iso3c habitat_method all_out_degree all_in_degree", "hm_degree")
 same("degree_full_join", "habitat_method_degree_summary")
+add(
+    "degree_levels",
+    "year level habitat_method iso3c all_out_degree all_in_degree",
+    """SELECT 'all' AS level, CAST(NULL AS VARCHAR) AS habitat_method, * FROM degree
+    UNION ALL BY NAME SELECT 'within' AS level, * FROM hm_degree""",
+)
 table(
     "bilateral_habitat_method_summary",
     "year exporter_iso3c exporter_region importer_iso3c importer_region habitat_method dom_source live_weight_t:d",
@@ -734,12 +796,44 @@ add(
       replace(replace(common_name, ' nei', ''), ' ', chr(10)) AS stacked FROM species_names""",
 )
 add("cast_text", "hs6 n", "SELECT CAST(hs6 AS VARCHAR) AS hs6, count(*) AS n FROM snet GROUP BY 1")
+# The country of each spelling, in the order in which customers use them.
+SPELLED = (
+    "AFG AGO BGD BEN BTN BFA BFA BDI "
+    "KHM CAF CAF TCD COM COM "
+    "COD COD COD DJI ERI ETH "
+    "GMB GMB GIN GNB GNB HTI KIR "
+    "LAO LAO LAO LSO LBR MDG "
+    "MWI MLI MRT MOZ MMR MMR NPL NER NER RWA "
+    "STP STP SEN SLE SLB SLB "
+    "SOM SSD SSD SDN TLS TLS TLS TGO TUV "
+    "UGA TZA TZA YEM YEM ZMB "
+    "- - - - - - - "
+    "- - -"
+).split()
 add(
     "country_to_code",
-    "iso3c n",
-    """SELECT CASE WHEN c_nationkey < 20 THEN concat('N', lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) END AS iso3c,
-      count(*) AS n
-    FROM customer GROUP BY 1""",
+    "c_custkey country iso3c",
+    "SELECT c_custkey, spelled.country, spelled.iso3c FROM customer JOIN (VALUES "
+    + ", ".join(
+        f"({i}, {'NULL' if name is None else quoted(name)}, {'NULL' if code == '-' else quoted(code)})"
+        for i, (name, code) in enumerate(zip(COUNTRY_SPELLINGS, SPELLED, strict=True))
+    )
+    + f") AS spelled(i, country, iso3c) ON c_custkey % {len(SPELLED)} = spelled.i",
+)
+add(
+    "dimension_contract",
+    "table_name n_rows n_keys n_repeated n_missing",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (whole) AS n_keys,
+          count(*) FILTER (whole AND n > 1) AS n_repeated, CAST(coalesce(sum(n) FILTER (NOT whole), 0) AS BIGINT) AS n_missing
+        FROM (SELECT count(*) AS n, {" AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))} AS whole FROM {source} GROUP BY {keys})"""
+        for name, source, keys in (
+            ("countries", "countries", "iso3c"),
+            ("population", "population", "iso3c, year"),
+            ("sciname", "species_names", "sciname"),
+            ("consumption", "consumption", "consumer_iso3c, year"),
+        )
+    ),
 )
 add(
     "round_digits",

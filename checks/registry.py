@@ -13,6 +13,7 @@ from checks.operators import OPERATORS
 from tradeweave.operators.joins import code_for_name
 from tradeweave.plans.pipeline import DATASETS
 from tradeweave.plans.study import Study
+from tradeweave.sources.tables import country_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,13 +36,12 @@ def _query(f: Callable[[Study], DataFrame]) -> Query:
 
 
 def country_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers per country code, found from the nation's name; five names have no code."""
-    codes = spark.createDataFrame([(f" Nation_{i}", f"N{i:02d}") for i in range(20)], "name string, iso3c string")
-    nation = fixtures.base(spark, sf_dir, "nation")
-    customers = fixtures.base(spark, sf_dir, "customer").join(
-        nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")), "c_nationkey"
-    )
-    return code_for_name(customers, "country", codes).groupBy("iso3c").agg(F.count(F.lit(1)).alias("n"))
+    """Customers per country code, found from the name as each of them spells it."""
+    spellings = F.array(*[F.lit(name) for name in fixtures.COUNTRY_SPELLINGS])
+    place = (F.col("c_custkey") % len(fixtures.COUNTRY_SPELLINGS) + 1).cast("int")
+    customers = fixtures.base(spark, sf_dir, "customer").select("c_custkey", F.element_at(spellings, place).alias("country"))
+    codes, aliases = country_names(spark)
+    return code_for_name(customers, "country", codes, aliases=aliases).select("c_custkey", "country", "iso3c")
 
 
 def queries() -> dict[str, Query]:

@@ -21,6 +21,12 @@ SOME = (
     "degree_full_join",
     "join_ldc_flows",
     "country_to_code",
+    "dimension_contract",
+    "degree_levels",
+    "scan_trade_laid_out",
+    "custom_regime_exports",
+    "read_csv_rejected",
+    "row_counts",
     "ols_slope_by_group",
     "average_rank",
     "top_k_global",

@@ -6,7 +6,16 @@ from tests.conftest import SMALL, plan_of
 from tradeweave.plans import trade
 from tradeweave.plans.study import Study, code_in
 from tradeweave.sources import schemas, sinks
-from tradeweave.sources.tables import TradeTables, list_tables, read_csv, row_counts, versions_by_jdbc, year_parts
+from tradeweave.sources.regimes import in_regime_table, regime_table, regime_years
+from tradeweave.sources.tables import (
+    TradeTables,
+    list_tables,
+    read_csv,
+    read_csv_checked,
+    row_counts,
+    versions_by_jdbc,
+    year_parts,
+)
 
 
 @pytest.fixture(scope="module")
@@ -51,8 +60,10 @@ def test_code_test_reaches_the_scan(spark, stored):
 def test_catalog_tables(spark, stored):
     for name in schemas.TABLES:
         spark.read.parquet(f"{stored}/{name}").createOrReplaceTempView(name)
-    names = {r.table_name for r in list_tables(spark).collect()}
-    assert set(schemas.TABLES) <= names
+    listed = list_tables(spark).collect()
+    assert set(schemas.TABLES) <= {r.table_name for r in listed}
+    columns = {r.column_name: (r.position, r.data_type) for r in listed if r.table_name == "population"}
+    assert columns == {"record_id": (1, "bigint"), "iso3c": (2, "string"), "year": (3, "int"), "pop": (4, "bigint")}
     tables = TradeTables.from_catalog(spark)
     counts = {r.table_name: r.n_rows for r in row_counts(tables).collect()}
     assert counts["snet"] == counts["production"] == 6000 and counts["population"] == 671
@@ -68,6 +79,51 @@ def test_csv_keeps_missing_values(spark, tmp_path):
     assert "NA" in text and text.startswith("i,s,x")
 
 
+def test_records_that_do_not_fit_are_set_aside(spark, tmp_path):
+    lines = ["i,s,x", "1,a,2.5", "x,b,1.0", "2,c", "3,d,1.0,more", "4,NA,NA", "5,,", "6,e,1.2.3", '7,"f, g",0']
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    schema = spark.createDataFrame([], "i int, s string, x double").schema
+    checked = read_csv_checked(spark, str(tmp_path / "t.csv"), schema)
+    assert sorted(checked.rows.collect()) == [(1, "a", 2.5), (4, None, None), (5, None, None), (7, "f, g", 0.0)]
+    assert sorted(r.record for r in checked.rejected.collect()) == sorted(lines[i] for i in (2, 3, 4, 7))
+    assert {r.file for r in checked.rejected.collect()} == {"t.csv"}
+    # a fault in a column that is not asked for counts as well
+    assert checked.rows.select("s").count() == 4 and checked.rejected.count() == 4
+    assert checked.counts().collect() == [(4, 4)]
+    assert read_csv(spark, str(tmp_path / "t.csv"), schema).count() == 8
+
+
+def test_folders_of_a_regime_table_are_chosen_while_running(spark, study):
+    from checks.operators import OPERATORS
+
+    plan = plan_of(OPERATORS["scan_trade_laid_out"](study))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "record_id" in line)
+    assert "dynamicpruning" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    snet, table = study.tables.laid_out()
+    years = {(r.hs_version, r.year) for r in in_regime_table(snet, table, "late").select("hs_version", "year").collect()}
+    assert {v for v, y in years} == {"HS96", "HS17"}
+    assert all((v == "HS96" and y < 2000) or (v == "HS17" and y > 2015) for v, y in years)
+    assert in_regime_table(snet, table, "no such name").count() == 0
+
+
+def test_regime_ranges_may_overlap_and_be_open(spark):
+    table = regime_table(spark, [("HS96", 1996, 1999), ("HS96", 1998, 2001), ("HS02", None, 1995), ("HS07", 2005, 2004)])
+    years = sorted((r.hs_version, r.year) for r in regime_years(table).collect())
+    assert [y for v, y in years if v == "HS96"] == [1996, 1997, 1998, 1999, 2000, 2001]
+    assert [y for v, y in years if v == "HS02"] == list(range(1900, 1996)) and not [y for v, y in years if v == "HS07"]
+    assert min(r.year for r in regime_years(table, open_start=True).where("hs_version = 'HS96'").collect()) == 1900
+
+
+def test_a_regime_table_gives_what_the_ranges_give(spark, study):
+    from dataclasses import replace
+
+    by_table = replace(study, regimes=regime_table(spark))
+    for dataset in (trade.export_by_source, trade.custom_ts, trade.trade_ts_union, trade.fishmeal_trade):
+        assert sorted(dataset(by_table).collect(), key=str) == sorted(dataset(study).collect(), key=str)
+        shared = by_table.with_shared_trade()
+        assert sorted(map(str, dataset(shared).collect())) == sorted(map(str, dataset(study).collect()))
+
+
 class _Reader:
     """Records what a database reader is asked for; there is no database here."""
 

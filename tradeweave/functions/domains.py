@@ -48,6 +48,9 @@ CONCENTRATION_PERCENT = 75
 # Highest plausible supply, kilograms per person and year.
 MAX_KG_PER_CAPITA = 100
 
+# The year of the maps and leading species.
+SLICE_YEAR = 2019
+
 # First and last years compared, and the divisor of their "annual average". Both
 # windows hold five years, yet the published averages divide by the span, four.
 BEGINNING_YEARS = (1996, 2000)
@@ -108,6 +111,31 @@ LDC_CODE_BY_NAME = {
 }
 LDC_CODES = tuple(LDC_CODE_BY_NAME.values())
 
+# Other spellings in use of the same countries.
+COUNTRY_ALIASES = {
+    "Islamic Republic of Afghanistan": "AFG",
+    "Central African Rep.": "CAF",
+    "Union of the Comoros": "COM",
+    "Comores": "COM",
+    "DR Congo": "COD",
+    "Congo, Dem. Rep.": "COD",
+    "Congo, Democratic Republic of the": "COD",
+    "The Gambia": "GMB",
+    "Gambia, The": "GMB",
+    "Lao PDR": "LAO",
+    "Laos": "LAO",
+    "Lao People's Democratic Republic": "LAO",
+    "Burma": "MMR",
+    "Solomon Is.": "SLB",
+    "S. Sudan": "SSD",
+    "East Timor": "TLS",
+    "Democratic Republic of Timor-Leste": "TLS",
+    "Tanzania": "TZA",
+    "Tanzania, United Rep. of": "TZA",
+    "Yemen, Rep.": "YEM",
+    "Republic of Yemen": "YEM",
+}
+
 # Display names of species on charts, per source category.
 SPECIES_LABELS = {
     "marine capture": {

@@ -67,7 +67,8 @@ def outliers(parts: DataFrame, population: DataFrame, cap_kg: int = MAX_KG_PER_C
     """
     weight = parts.schema["consumption_live_t"].dataType
     totals = parts.groupBy(*KEYS).agg(complete_sum("consumption_live_t").alias("total_t"))
-    totals = lookup(totals, population, {"consumer_iso3c": "iso3c", "year": "year"}, {"pop": "pop"})
+    people = {"consumer_iso3c": "iso3c", "year": "year"}
+    totals = lookup(totals, population, people, {"pop": "pop"}, unique="population")
     total, people = F.col("total_t"), F.col("pop")
     return totals.where(exceeds_cap(total, people, cap_kg)).select(
         *KEYS,

@@ -19,6 +19,16 @@ def stack_tagged(tables: Mapping[str, DataFrame], tag: str) -> DataFrame:
     return stack(*[df.withColumn(tag, F.lit(name)) for name, df in tables.items()])
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """An aggregated table of which all uses in one plan need the same.
+
+    Spark computes equal branches of a plan once, but first drops what a branch does
+    not use and moves its filters down, which makes them unequal. A test that reads all
+    columns, is always true, and cannot be moved keeps them equal above the shuffle.
+    """
+    return df.where(F.rand(0) + F.pmod(F.xxhash64(*df.columns), F.lit(2)) >= 0)
+
+
 def with_total_rows(df: DataFrame, category: str, total: str = "total") -> DataFrame:
     """Every row once under its category and once under ``total``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from tradeweave.functions.columns import (
 from tradeweave.operators.reshape import metric_table, stack, wide
 from tradeweave.operators.windows import rows_at_max, share_of_group
 from tradeweave.plans import supply, trade
-from tradeweave.plans.study import Study
+from tradeweave.plans.study import Study, in_plan, source_totals
 
 WEIGHT = trade.WEIGHT
 START, END, LAST = 1996, 2019, 2020
@@ -265,7 +266,14 @@ def foreign_share_by_region_2019(s: Study) -> DataFrame:
 
 
 def growth_statements(s: Study) -> DataFrame:
-    """Growth and share figures as quoted, rounded, from the metrics above."""
+    """Growth and share figures as quoted, rounded, from the metrics above.
+
+    Trade and production are read once each, whatever the number of figures.
+    """
+    if s.trade_cube is None:
+        s = s.with_shared_trade(in_plan)
+    if s.source_production is None:
+        s = replace(s, source_production=in_plan(source_totals(s), "production"))
     known = stack(
         trade_totals(s),
         fishmeal_totals(s),

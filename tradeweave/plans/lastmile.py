@@ -18,7 +18,7 @@ from tradeweave.operators.joins import lookup
 from tradeweave.operators.reshape import flow_links, long, long_split, stack_tagged, with_total_rows
 from tradeweave.operators.windows import top_k
 from tradeweave.plans import supply, trade
-from tradeweave.plans.study import Study
+from tradeweave.plans.study import Study, in_plan
 
 WEIGHT, TONNES = trade.WEIGHT, supply.TONNES
 
@@ -47,7 +47,9 @@ def concentration_with_total(s: Study, member: str = trade.EXPORTER) -> DataFram
         .agg(strict_sum(WEIGHT).alias(WEIGHT))
         .transform(with_total_rows, "habitat_method")
     )
-    counts = trade.n_below(trade.concentration(weights, ["year", "habitat_method"], member), ["year", "habitat_method"])
+    counts = trade.n_below(
+        trade.concentration(weights, ["year", "habitat_method"], member), ["year", "habitat_method"], s.concentration_percent
+    )
     return counts.where(F.col("habitat_method") != d.UNKNOWN).select(
         "year", F.col("habitat_method").alias("series"), "n"
     )
@@ -71,7 +73,8 @@ def consumer_map_totals(s: Study) -> DataFrame:
 def map_attributes(s: Study) -> DataFrame:
     """Consumer totals with the attributes of the country."""
     return lookup(
-        consumer_map_totals(s), s.tables.countries, {"consumer_iso3c": "iso3c"}, {"consumer_region": "owid_region"}
+        consumer_map_totals(s), s.tables.countries, {"consumer_iso3c": "iso3c"}, {"consumer_region": "owid_region"},
+        unique="countries",
     )
 
 
@@ -117,7 +120,9 @@ def sciname_totals(s: Study) -> DataFrame:
 
 
 def axis_limits(s: Study) -> DataFrame:
-    """Largest values of maps, arrows and bars in million tonnes."""
+    """Largest values of maps, arrows and bars in million tonnes, from one pass over consumption."""
+    if s.consumption_cube is None:
+        s = s.with_shared_consumption(in_plan)
     largest = millions(F.max(TONNES)).alias("max_value")
     return stack_tagged(
         {

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
+from dataclasses import fields, replace
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tradeweave.functions.domains import FOUR_SOURCES
 from tradeweave.plans import headline, lastmile, study, supply, trade
 from tradeweave.plans.study import Study
-from tradeweave.sources.sinks import materialise, remove, write_csv, write_parquet
+from tradeweave.sources import schemas
+from tradeweave.sources.sinks import (
+    SharedTables,
+    delete,
+    input_state,
+    read_text,
+    shared_dir,
+    write_csv,
+    write_parquet,
+    write_text,
+    write_years,
+)
 
 Dataset = Callable[[Study], DataFrame]
 
@@ -38,6 +51,7 @@ TRADE: dict[str, Dataset] = {
     "percent_export_total": trade.percent_export_total,
     "all_degree_summary": trade.all_degree_summary,
     "habitat_method_degree_summary": trade.habitat_method_degree_summary,
+    "degree_levels": trade.degree_levels,
     "bilateral_habitat_method_summary": trade.bilateral_habitat_method_summary,
     "export_concentration_habitat_method": trade.export_concentration,
     "export_concentration_n_countries": trade.export_concentration_n_countries,
@@ -143,31 +157,113 @@ DATASETS: dict[str, Dataset] = {**TRADE, **SUPPLY, **LASTMILE, **HEADLINE}
 DETAIL = ("prod", "trade_nonfood", "consumption_scaled", "consumption_percap_adjusted")
 
 
-def run(s: Study, out: str, names: Iterable[str] | None = None, csv: bool = False, at_once: int = 8) -> dict[str, str]:
-    """Write datasets under ``out``; returns the path of each.
+#: Raised when a dataset changes its meaning: what older code committed is written anew.
+VERSION = 1
+
+
+def state_of(s: Study, inputs: str | None = None) -> str | None:
+    """A digest of the settings and of the state of the inputs.
 
-    The two large facts are aggregated and written once, then supply, which many
-    datasets start from; all others read those. As most are small, several are
-    computed at once. Parquet by default, CSV with ``csv``. The shared tables are
-    deleted in the end.
+    The inputs' state is told from the files they are read from, or given by the
+    caller, as for tables in a database. None if it cannot be told.
     """
-    shared = s.shared()
-    shared = replace(shared, supply_table=materialise(supply.supply(shared), "supply"))
-
-    def write(name: str) -> str:
-        path = f"{out}/{name}"
-        if csv:
-            write_csv(DATASETS[name](shared), path)
-        elif name in DETAIL:
-            write_parquet(DATASETS[name](shared), path, partition_by=["year"])
+    told: list = [VERSION]
+    for f in fields(s):
+        value = getattr(s, f.name)
+        if f.name == "tables":
+            tables = [getattr(value, name) for name in schemas.TABLES]
+        elif isinstance(value, DataFrame):
+            tables = [value]
         else:
-            write_parquet(DATASETS[name](shared), path)
-        return path
+            told.append((f.name, repr(value)))
+            continue
+        states = [inputs] if inputs is not None else [input_state(t) for t in tables]
+        if None in states:
+            return None
+        told.append((f.name, states))
+    return hashlib.sha256(json.dumps(told).encode()).hexdigest()
+
+
+class Manifest:
+    """What a run has committed under ``out``: a small file per dataset, each with the
+    state of what it was computed from. A dataset without one is not finished."""
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.folder = spark, f"{out}/_committed"
+
+    def read(self, name: str) -> dict | None:
+        text = read_text(self.spark, f"{self.folder}/{name}.json")
+        return json.loads(text) if text else None
+
+    def commit(self, name: str, **entry) -> None:
+        write_text(self.spark, f"{self.folder}/{name}.json", json.dumps(entry, sort_keys=True))
+
+    def revoke(self, name: str) -> None:
+        delete(self.spark, f"{self.folder}/{name}.json")
 
+
+def run(
+    s: Study,
+    out: str,
+    names: Iterable[str] | None = None,
+    csv: bool = False,
+    at_once: int = 8,
+    inputs: str | None = None,
+) -> dict[str, str]:
+    """Write datasets under ``out``; returns the path of each.
+
+    Each large fact is read once and the grains that datasets start from are written;
+    then supply and the network's edges, which many start from; all others read those.
+    As most are small, several are computed at once. Parquet by default, CSV with
+    ``csv``.
+
+    A dataset is committed when it is written. A run that was cut off and is started
+    again over the same inputs and settings writes only what is not committed, also
+    where only the process ended: shared tables that were complete are read again.
+    Over changed inputs all is computed, and of datasets laid out by year the years
+    that came out different are replaced. ``inputs`` names the state of inputs that
+    are not files; without it such a run starts over.
+    """
+    spark = s.tables.snet.sparkSession
+    manifest, kind = Manifest(spark, out), "csv" if csv else "parquet"
+    state = state_of(s, inputs)
     chosen = list(DATASETS if names is None else names)
+    entries = {name: manifest.read(name) for name in chosen}
+    paths = {name: f"{out}/{name}" for name in chosen}
+
+    def finished(entry: dict | None) -> bool:
+        return state is not None and entry is not None and (entry["state"], entry["kind"]) == (state, kind)
+
+    todo = [name for name in chosen if not finished(entries[name])]
+    if not todo:
+        return paths
+    folder = f"{shared_dir(spark)}/run-{hashlib.sha256(out.encode()).hexdigest()[:24]}"
+    marker = f"{folder}/_state"
+    if state is None or read_text(spark, marker) != state:
+        delete(spark, folder)  # what a run over other inputs left behind
+    shared_tables = SharedTables(spark, folder)
     try:
+        write_text(spark, marker, state or "")
+        shared = s.shared(shared_tables.keep).with_shared_edges(shared_tables.keep)
+        shared = replace(shared, supply_table=shared_tables.keep(supply.supply(shared), "supply"))
+
+        def write(name: str) -> None:
+            before, years = entries[name], None
+            # what is there counts as unfinished while it is replaced
+            manifest.revoke(name)
+            if csv:
+                write_csv(DATASETS[name](shared), paths[name])
+            elif name in DETAIL:
+                if not before or before["kind"] != kind:
+                    delete(spark, paths[name])
+                years = write_years(DATASETS[name](shared), paths[name])
+            else:
+                write_parquet(DATASETS[name](shared), paths[name])
+            manifest.commit(name, state=state, kind=kind, years=years)
+
         with ThreadPoolExecutor(at_once) as pool:
-            return dict(zip(chosen, pool.map(write, chosen)))
+            for _ in pool.map(write, todo):
+                pass
     finally:
-        for table in (shared.trade_cube, shared.consumption_cube, shared.supply_table):
-            remove(table)
+        shared_tables.drop()
+    return paths

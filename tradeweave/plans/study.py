@@ -1,8 +1,8 @@
-"""The cleaned facts that every dataset starts from."""
+"""The cleaned facts that every dataset starts from, and the grains they share."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tradeweave.functions import domains as d
-from tradeweave.functions.aggregates import narm_sum, strict_sum
+from tradeweave.functions.aggregates import narm_sum
 from tradeweave.functions.columns import food_or_fmfo, habitat_method, has_known_source, hs6_text, in_regime, is_not_true
 from tradeweave.operators.joins import lookup
+from tradeweave.operators.network import edge_sets
+from tradeweave.operators.reshape import computed_once
+from tradeweave.sources.regimes import DEFAULT_REGIME, in_regime_table
 from tradeweave.sources.sinks import materialise
 from tradeweave.sources.tables import TradeTables
 
@@ -28,42 +31,86 @@ TRADE_KEYS = (
     "dom_source",
     "food_or_fmfo",
 )
-CONSUMPTION_KEYS = (
-    "year",
-    "consumer_iso3c",
-    "source_country_iso3c",
-    "sciname_hs_modified",
-    "habitat",
-    "method",
-    "consumption_source",
-)
+# Grain of the shared consumption table, bounded by the domains as well. Species
+# occur only in the slice of one year.
+CONSUMPTION_KEYS = ("year", "consumer_iso3c", "source_country_iso3c", "habitat", "method", "consumption_source")
+SPECIES_KEYS = ("year", "consumer_iso3c", "source_country_iso3c", "habitat", "method", "sciname_hs_modified")
+PRODUCTION_KEYS = ("year", "iso3c", "sciname", "method", "habitat")
+
+#: Keeps a table that several plans share: (table, name, partition columns) -> table.
+Keep = Callable[[DataFrame, str, Sequence[str]], DataFrame]
+
+
+def in_plan(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Keeps a table inside a plan: its branches compute it once, and nothing is written."""
+    return computed_once(df)
 
 
 @dataclass(frozen=True)
 class Study:
-    """Input tables plus the few settings that vary between uses.
+    """Input tables plus the settings that vary between uses.
 
-    All datasets are lazy plans over the tables. ``shared()`` writes the two
-    aggregated facts once, so that computing every dataset reads each large input
-    one time instead of once per dataset.
+    All datasets are lazy plans over the tables. ``shared()`` reads each large input
+    once and writes the grains that the datasets start from, so that computing every
+    dataset does not read it once per dataset.
+
+    ``regimes`` is a table (regime, hs_version, first_year, last_year), of which the
+    rows named ``regime`` say which version counts in which years; without it the
+    published ranges hold.
     """
 
     tables: TradeTables
     ldc_codes: Sequence[str] = d.LDC_CODES
     centroid_overrides: Mapping[str, tuple[float, float]] = field(default_factory=lambda: d.CENTROID_OVERRIDES)
     custom_series_label: str = "Custom time series"
+    concentration_percent: float = d.CONCENTRATION_PERCENT
+    max_kg_per_capita: int = d.MAX_KG_PER_CAPITA
+    slice_year: int = d.SLICE_YEAR
+    regimes: DataFrame | None = None
+    regime: str = DEFAULT_REGIME
     trade_cube: DataFrame | None = None
+    version_cube: DataFrame | None = None
+    edge_table: DataFrame | None = None
+    production_cube: DataFrame | None = None
+    source_production: DataFrame | None = None
     consumption_cube: DataFrame | None = None
+    species_cube: DataFrame | None = None
     supply_table: DataFrame | None = None
 
-    def shared(self) -> Study:
-        return self.with_shared_trade().with_shared_consumption()
-
-    def with_shared_trade(self) -> Study:
-        return replace(self, trade_cube=materialise(trade_cube(self), "trade"))
-
-    def with_shared_consumption(self) -> Study:
-        return replace(self, consumption_cube=materialise(consumption_cube(self), "consumption"))
+    def shared(self, keep: Keep = materialise) -> Study:
+        return self.with_shared_trade(keep).with_shared_production(keep).with_shared_consumption(keep)
+
+    def with_shared_trade(self, keep: Keep = materialise) -> Study:
+        kept = keep(trade_grains(self), "trade", [])
+        sums = [F.sum(c).alias(c) for c in ("product_weight_t", "n_fishmeal", "fishmeal_live_t", "fishmeal_product_t")]
+        return replace(
+            self,
+            trade_cube=kept.where("n_food > 0").select(*[F.col(f"_{k}").alias(k) for k in TRADE_KEYS], "live_weight_t"),
+            version_cube=kept.groupBy("year", "hs_version").agg(*sums),
+        )
+
+    def with_shared_edges(self, keep: Keep = materialise) -> Study:
+        return replace(self, edge_table=keep(self.edges(), "edges", []))
+
+    def with_shared_production(self, keep: Keep = materialise) -> Study:
+        kept = keep(production_grains(self), "production", ["grain"])
+        detail, sources = (kept.where(F.col("grain") == g).drop("grain") for g in ("detail", "sources"))
+        return replace(self, production_cube=detail, source_production=sources.drop("iso3c", "sciname"))
+
+    def with_shared_consumption(self, keep: Keep = materialise) -> Study:
+        kept = keep(consumption_grains(self), "consumption", [])
+        weights = ("consumption_live_t", "n_missing")
+        return replace(
+            self,
+            consumption_cube=kept.select(*CONSUMPTION_KEYS, *weights),
+            species_cube=kept.where("is_slice").select(*SPECIES_KEYS, *weights),
+        )
+
+    def authoritative(self, df: DataFrame) -> DataFrame:
+        """Rows of the version that counts in their year."""
+        if self.regimes is None:
+            return df.where(in_regime("hs_version", "year"))
+        return in_regime_table(df, self.regimes, self.regime)
 
     def trade(self) -> DataFrame:
         """Food trade with its source category, without regions."""
@@ -80,17 +127,33 @@ class Study:
         """Edible trade of the four known source categories."""
         return self.edible_trade().where(has_known_source("environment", "method"))
 
+    def edges(self) -> DataFrame:
+        """Countries that trade in a year, once per pair, with the categories they trade."""
+        if self.edge_table is not None:
+            return self.edge_table
+        return edge_sets(self.trade(), ["year"], "habitat_method", d.HABITAT_METHODS)
+
     def consumption(self) -> DataFrame:
         """Consumption weights with the number of missing weights they stand for."""
         if self.consumption_cube is not None:
             return self.consumption_cube
         missing = F.col("consumption_live_t").isNull().cast("int").alias("n_missing")
-        return consumption_rows(self).select(*CONSUMPTION_KEYS, "consumption_live_t", missing)
+        return consumption_rows(self).select(*CONSUMPTION_KEYS, "sciname_hs_modified", "consumption_live_t", missing)
+
+    def species_slice(self) -> DataFrame:
+        """Foreign consumption of known origin in the slice's year, with species."""
+        if self.species_cube is not None:
+            return self.species_cube
+        return self.consumption().where(in_slice(self)).select(*SPECIES_KEYS, "consumption_live_t", "n_missing")
 
     def population(self) -> DataFrame:
         """Population by country and year with the country's region."""
         return lookup(
-            self.tables.population, self.tables.countries, {"iso3c": "iso3c"}, {"region": "owid_region"}
+            self.tables.population,
+            self.tables.countries,
+            {"iso3c": "iso3c"},
+            {"region": "owid_region"},
+            unique="countries",
         ).select("iso3c", "year", "region", "pop")
 
 
@@ -109,7 +172,7 @@ def code_in(df: DataFrame, codes: Sequence[str], column: str = "hs6") -> Column:
 def weighed_rows(study: Study) -> DataFrame:
     """Trade of the authoritative versions with both weights present."""
     both = F.col("live_weight_t").isNotNull() & F.col("product_weight_t").isNotNull()
-    return study.tables.snet.where(in_regime("hs_version", "year") & both).drop("record_id")
+    return study.authoritative(study.tables.snet).where(both).drop("record_id")
 
 
 def pad_codes(df: DataFrame) -> DataFrame:
@@ -150,19 +213,81 @@ def food_trade(study: Study) -> DataFrame:
 
 
 def add_regions(df: DataFrame, countries: DataFrame) -> DataFrame:
-    df = lookup(df, countries, {"exporter_iso3c": "iso3c"}, {"exporter_region": "owid_region"})
-    return lookup(df, countries, {"importer_iso3c": "iso3c"}, {"importer_region": "owid_region"})
+    df = lookup(df, countries, {"exporter_iso3c": "iso3c"}, {"exporter_region": "owid_region"}, unique="countries")
+    return lookup(df, countries, {"importer_iso3c": "iso3c"}, {"importer_region": "owid_region"}, unique="countries")
 
 
-def trade_cube(study: Study) -> DataFrame:
-    return food_trade(study).groupBy(*TRADE_KEYS).agg(strict_sum("live_weight_t").alias("live_weight_t"))
+def trade_grains(study: Study) -> DataFrame:
+    """What the datasets take from trade, from one pass over it.
+
+    Food trade is summed by TRADE_KEYS, their names with a leading underscore. Other
+    rows have none of these keys; they are one group for each year and version, which
+    ``n_food`` tells apart. Summed again by year and version, the table gives the
+    product weight of all rows and the weights of fishmeal, which has no minimum. So
+    one grouping holds both grains, and no row is counted twice on the way.
+    """
+    rows, counts = study.tables.snet, in_regime("hs_version", "year")
+    if study.regimes is not None:
+        rows, counts = in_regime_table(rows, study.regimes, study.regime, mark="_counts"), F.col("_counts")
+    both = F.col("live_weight_t").isNotNull() & F.col("product_weight_t").isNotNull()
+    usable = F.coalesce(counts, F.lit(False)) & both
+    heavy = F.col("live_weight_t") >= d.MIN_WEIGHT_T
+    rows = rows.withColumns(
+        {
+            "is_food": usable & heavy & is_not_true(code_in(rows, d.NONFOOD_CODES)),
+            "is_fishmeal": usable & F.coalesce(code_in(rows, [d.FISHMEAL_CODE]), F.lit(False)),
+            "environment": F.col("habitat"),
+            "habitat_method": habitat_method("habitat", "method"),
+            "food_or_fmfo": food_or_fmfo(code_in(rows, [d.FISHMEAL_CODE])),
+        }
+    )
+    keys = [F.when(F.col("is_food"), F.col(k)).alias(f"_{k}") for k in TRADE_KEYS]
+    food, fishmeal = F.col("is_food"), F.col("is_fishmeal")
+    return rows.groupBy(*keys, "year", "hs_version").agg(
+        F.count_if(food).alias("n_food"),
+        F.sum(F.when(food, F.col("live_weight_t"))).alias("live_weight_t"),
+        F.sum("product_weight_t").alias("product_weight_t"),
+        F.count_if(fishmeal).alias("n_fishmeal"),
+        narm_sum(F.when(fishmeal, F.col("live_weight_t"))).alias("fishmeal_live_t"),
+        narm_sum(F.when(fishmeal, F.col("product_weight_t"))).alias("fishmeal_product_t"),
+    )
+
+
+# -- production ----------------------------------------------------------------
+
+
+def source_totals(study: Study) -> DataFrame:
+    """Production by year, method and habitat."""
+    if study.source_production is not None:
+        return study.source_production
+    return study.tables.production.groupBy("year", "method", "habitat").agg(narm_sum("live_weight_t").alias("production_t"))
+
+
+def production_grains(study: Study) -> DataFrame:
+    """Production by PRODUCTION_KEYS ("detail") and by year, method and habitat ("sources")
+    from one pass; the second is bounded by the domains, the first holds species."""
+    sources = ["year", "method", "habitat"]
+    rows = study.tables.production
+    return rows.groupingSets([[*PRODUCTION_KEYS], sources], *PRODUCTION_KEYS).agg(
+        F.when(F.grouping("iso3c") == 1, F.lit("sources")).otherwise(F.lit("detail")).alias("grain"),
+        narm_sum("live_weight_t").alias("production_t"),
+    )
 
 
 # -- consumption ---------------------------------------------------------------
 
 
 def consumption_rows(study: Study) -> DataFrame:
-    return study.tables.consumption.where(in_regime("hs_version", "year")).drop("record_id")
+    return study.authoritative(study.tables.consumption).drop("record_id")
+
+
+def in_slice(study: Study) -> Column:
+    """Foreign supply of the slice's year that comes from a known country."""
+    return (
+        (F.col("year") == study.slice_year)
+        & (F.col("consumption_source") == "foreign")
+        & (F.col("source_country_iso3c") != d.UNKNOWN)
+    )
 
 
 def combine_parts(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -172,5 +297,16 @@ def combine_parts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def consumption_cube(study: Study) -> DataFrame:
-    return combine_parts(study.consumption(), CONSUMPTION_KEYS)
+def consumption_grains(study: Study) -> DataFrame:
+    """What the datasets take from consumption, from one pass over it.
+
+    Summed by CONSUMPTION_KEYS, and by species in the slice of one year only: all other
+    rows have none, so the table does not grow with the number of species.
+    """
+    rows = consumption_rows(study).withColumn("is_slice", F.coalesce(in_slice(study), F.lit(False)))
+    species = F.when(F.col("is_slice"), F.col("sciname_hs_modified")).alias("sciname_hs_modified")
+    return rows.groupBy(*CONSUMPTION_KEYS, species).agg(
+        F.bool_or("is_slice").alias("is_slice"),
+        narm_sum("consumption_live_t").alias("consumption_live_t"),
+        F.count_if(F.col("consumption_live_t").isNull()).alias("n_missing"),
+    )

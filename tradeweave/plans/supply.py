@@ -22,10 +22,9 @@ from tradeweave.operators import allocation as cap
 from tradeweave.operators.joins import lookup, without_keys
 from tradeweave.operators.reshape import long, stack, wide
 from tradeweave.operators.windows import group_total, order_by_measure, share_of_all, share_of_group, top_k
-from tradeweave.plans.study import Study, combine_parts, consumption_rows
+from tradeweave.plans.study import Study, combine_parts, consumption_rows, in_slice
 
 TONNES = "consumption_live_t"
-SLICE_YEAR = 2019
 
 
 # -- per-capita cap ------------------------------------------------------------
@@ -38,11 +37,11 @@ def _outliers(s: Study, year: int | None = None) -> DataFrame:
     to the rows or splits a hot consumer-year.
     """
     parts = s.consumption() if year is None else s.consumption().where(F.col("year") == year)
-    return cap.outliers(parts, s.tables.population)
+    return cap.outliers(parts, s.tables.population, s.max_kg_per_capita)
 
 
 def consumption_outliers(s: Study) -> DataFrame:
-    return cap.outliers(s.consumption(), s.tables.population).select(*cap.KEYS, "corrected_consumption_t")
+    return _outliers(s).select(*cap.KEYS, "corrected_consumption_t")
 
 
 def consumption_scaled(s: Study) -> DataFrame:
@@ -59,8 +58,9 @@ def consumption_scaled(s: Study) -> DataFrame:
 
 def _with_places(s: Study, df: DataFrame) -> DataFrame:
     """Regions of consumer and source; rows without a regular region are dropped."""
-    df = lookup(df, s.tables.countries, {"consumer_iso3c": "iso3c"}, {"consumer_region": "owid_region"})
-    df = lookup(df, s.tables.countries, {"source_country_iso3c": "iso3c"}, {"source_region": "owid_region"})
+    places = s.tables.countries
+    df = lookup(df, places, {"consumer_iso3c": "iso3c"}, {"consumer_region": "owid_region"}, unique="countries")
+    df = lookup(df, places, {"source_country_iso3c": "iso3c"}, {"source_region": "owid_region"}, unique="countries")
     return df.where(is_known_region("consumer_region") & is_known_region("source_region"))
 
 
@@ -88,20 +88,15 @@ def consumption_percap_adjusted(s: Study) -> DataFrame:
     return _with_common_names(s, _with_places(s, adjusted))
 
 
-def _adjusted_parts(s: Study, by: Sequence[str], year: int, source: str) -> DataFrame:
-    """Adjusted weights of one year and origin, summed over keys before any join.
+def _adjusted_parts(s: Study, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adjusted weights of rows of the slice, summed over keys before any join.
 
     The cap looks at the whole of a consumer's year, so its totals are taken from
-    all rows of the year, not only the requested ones.
+    all rows of the year, not only the slice's.
     """
-    rows = s.consumption().where(
-        (F.col("year") == year)
-        & (F.col("consumption_source") == source)
-        & (F.col("source_country_iso3c") != d.UNKNOWN)
-    )
     parts = combine_parts(rows, [*cap.KEYS, "source_country_iso3c", *by])
     weight = parts.schema[TONNES].dataType
-    factors = _outliers(s, year).select(*cap.KEYS, "factor")
+    factors = _outliers(s, s.slice_year).select(*cap.KEYS, "factor")
     scaled = parts.join(factors, list(cap.KEYS), "left").withColumn(
         TONNES, cap.scaled(F.col(TONNES), F.col("factor"), weight)
     )
@@ -112,7 +107,7 @@ def _adjusted_parts(s: Study, by: Sequence[str], year: int, source: str) -> Data
 
 
 def foreign_consumption_2019(s: Study) -> DataFrame:
-    parts = _adjusted_parts(s, ["habitat", "method"], SLICE_YEAR, "foreign")
+    parts = _adjusted_parts(s, s.consumption().where(in_slice(s)), ["habitat", "method"])
     return parts.groupBy("consumer_iso3c", "source_country_iso3c", "habitat", "method").agg(
         narm_sum(TONNES).alias(TONNES)
     )
@@ -126,7 +121,7 @@ def foreign_flow(s: Study, source: str) -> DataFrame:
 
 
 def _species_parts(s: Study) -> DataFrame:
-    parts = _adjusted_parts(s, ["habitat", "method", "sciname_hs_modified"], SLICE_YEAR, "foreign")
+    parts = _adjusted_parts(s, s.species_slice(), ["habitat", "method", "sciname_hs_modified"])
     return (
         parts.withColumn("habitat_method", habitat_method_text("habitat", "method"))
         .groupBy("sciname_hs_modified", "habitat_method", "source_region", "consumer_region")
@@ -181,15 +176,19 @@ def _supply_parts(s: Study) -> DataFrame:
     on the sums. Weights of dropped regions still count towards a consumer's total.
     """
     rows = lookup(
-        s.consumption(), s.tables.countries, {"source_country_iso3c": "iso3c"}, {"source_region": "owid_region"}
+        s.consumption(), s.tables.countries, {"source_country_iso3c": "iso3c"}, {"source_region": "owid_region"},
+        unique="countries",
     ).withColumn("in_region", F.coalesce(is_known_region("source_region"), F.lit(False)))
     parts = combine_parts(rows, [*cap.KEYS, "habitat", "method", "consumption_source", "in_region"])
     weight = parts.schema[TONNES].dataType
     consumer_year = Window.partitionBy(*cap.KEYS)
     parts = parts.withColumn("total_t", cap.complete_sum(TONNES, consumer_year))
-    parts = lookup(parts, s.tables.population, {"consumer_iso3c": "iso3c", "year": "year"}, {"pop": "pop"})
-    parts = lookup(parts, s.tables.countries, {"consumer_iso3c": "iso3c"}, {"consumer_region": "owid_region"})
-    factor = cap.cap_factor(F.col("total_t"), F.col("pop"), weight)
+    people = {"consumer_iso3c": "iso3c", "year": "year"}
+    parts = lookup(parts, s.tables.population, people, {"pop": "pop"}, unique="population")
+    parts = lookup(
+        parts, s.tables.countries, {"consumer_iso3c": "iso3c"}, {"consumer_region": "owid_region"}, unique="countries"
+    )
+    factor = cap.cap_factor(F.col("total_t"), F.col("pop"), weight, s.max_kg_per_capita)
     return parts.where(F.col("in_region") & is_known_region("consumer_region")).withColumn(
         TONNES, cap.scaled(F.col(TONNES), factor, weight)
     )
@@ -212,7 +211,7 @@ def supply(s: Study) -> DataFrame:
         .withColumn("habitat_method", habitat_method("habitat", "method"))
     )
     return lookup(
-        totals, s.population(), {"iso3c": "iso3c", "year": "year"}, {"region": "region", "pop": "pop"}
+        totals, s.population(), {"iso3c": "iso3c", "year": "year"}, {"region": "region", "pop": "pop"}, unique="population"
     )
 
 

@@ -23,10 +23,11 @@ from tradeweave.functions.columns import (
 )
 from tradeweave.operators.concentration import concentration, n_below
 from tradeweave.operators.joins import lookup
-from tradeweave.operators.network import degrees
+from tradeweave.operators.network import degrees, degrees_from_sets
 from tradeweave.operators.reshape import wide
 from tradeweave.operators.windows import average_rank, group_total, order_by_measure, top_k
-from tradeweave.plans.study import Study, add_regions, fishmeal_rows
+from tradeweave.plans.study import Study, add_regions, fishmeal_rows, source_totals
+from tradeweave.sources.regimes import in_regime_table
 
 WEIGHT = "live_weight_t"
 EXPORTER, IMPORTER = "exporter_iso3c", "importer_iso3c"
@@ -40,6 +41,11 @@ def _sum(df: DataFrame, *by: str) -> DataFrame:
 
 
 def fishmeal_trade(s: Study) -> DataFrame:
+    if s.version_cube is not None:
+        met = s.version_cube.where(F.col("n_fishmeal") > 0).groupBy("year")
+        return met.agg(
+            F.sum("fishmeal_live_t").alias(WEIGHT), F.sum("fishmeal_product_t").alias("product_weight_t")
+        )
     return (
         fishmeal_rows(s)
         .groupBy("year")
@@ -56,6 +62,8 @@ def export_by_source(s: Study) -> DataFrame:
 
 
 def prod_summary(s: Study) -> DataFrame:
+    if s.production_cube is not None:
+        return s.production_cube
     return s.tables.production.groupBy("year", "iso3c", "sciname", "method", "habitat").agg(
         narm_sum(WEIGHT).alias("production_t")
     )
@@ -65,9 +73,7 @@ def prod_by_source(s: Study) -> DataFrame:
     """Production by year and category. There is no "unknown" level here, so such
     production has a missing category and may take several rows per year."""
     return (
-        s.tables.production.groupBy("year", "method", "habitat")
-        .agg(narm_sum(WEIGHT).alias("production_t"))
-        .select("year", "production_t", habitat_method("habitat", "method", fold_unknown=False).alias("habitat_method"))
+        source_totals(s).select("year", "production_t", habitat_method("habitat", "method", fold_unknown=False).alias("habitat_method"))
     )
 
 
@@ -148,11 +154,19 @@ def percent_export_total(s: Study) -> DataFrame:
 
 
 def all_degree_summary(s: Study) -> DataFrame:
+    if s.edge_table is not None:
+        return degrees_from_sets(s.edge_table, ["year"], "habitat_method", d.HABITAT_METHODS, "all")
     return degrees(s.trade(), ["year"])
 
 
 def habitat_method_degree_summary(s: Study) -> DataFrame:
-    return degrees(s.trade(), ["year", "habitat_method"])
+    """Degrees within each category; an edge is shuffled once with all its categories."""
+    return degrees_from_sets(s.edges(), ["year"], "habitat_method", d.HABITAT_METHODS, "within")
+
+
+def degree_levels(s: Study) -> DataFrame:
+    """Both degree summaries in one table, counted from one set of edges."""
+    return degrees_from_sets(s.edges(), ["year"], "habitat_method", d.HABITAT_METHODS, "both")
 
 
 def bilateral_habitat_method_summary(s: Study) -> DataFrame:
@@ -167,7 +181,7 @@ def country_concentration(s: Study, member: str) -> DataFrame:
 
 
 def concentration_n_countries(s: Study, member: str) -> DataFrame:
-    return n_below(concentration(s.edible_trade(), ["year"], member), ["year"])
+    return n_below(concentration(s.edible_trade(), ["year"], member), ["year"], s.concentration_percent)
 
 
 def n_countries_by_flow(s: Study) -> DataFrame:
@@ -180,12 +194,12 @@ def n_countries_by_flow(s: Study) -> DataFrame:
     )
     members = pairs.select("year", WEIGHT, F.explode(ends).alias("end")).select("year", WEIGHT, "end.*")
     by = ["year", "flow"]
-    return n_below(concentration(members, by, "country"), by)
+    return n_below(concentration(members, by, "country"), by, s.concentration_percent)
 
 
 def concentration_n_countries_by_source(s: Study, member: str) -> DataFrame:
     by = ["year", "habitat_method"]
-    return n_below(concentration(s.sourced_trade(), by, member), by)
+    return n_below(concentration(s.sourced_trade(), by, member), by, s.concentration_percent)
 
 
 def export_concentration(s: Study) -> DataFrame:
@@ -377,20 +391,27 @@ def ldc_net_habitat_method_summary(s: Study) -> DataFrame:
 
 def trade_ts_by_version(s: Study) -> DataFrame:
     """Product weight of every version and year, without any cleaning."""
+    if s.version_cube is not None:
+        return s.version_cube.select("year", "hs_version", "product_weight_t")
     return s.tables.snet.groupBy("year", "hs_version").agg(F.sum("product_weight_t").alias("product_weight_t"))
 
 
 def custom_ts(s: Study) -> DataFrame:
     """The authoritative version of each year; the first has no lower bound."""
-    rows = s.tables.snet.where(in_regime("hs_version", "year", open_start=True))
-    return rows.groupBy("year", F.lit(s.custom_series_label).alias("hs_version"), F.col("hs_version").alias("_v")).agg(
-        F.sum("product_weight_t").alias("product_weight_t")
-    ).drop("_v")
+    series = trade_ts_by_version(s)
+    if s.regimes is None:
+        series = series.where(in_regime("hs_version", "year", open_start=True))
+    else:
+        series = in_regime_table(series, s.regimes, s.regime, open_start=True)
+    return series.withColumn("hs_version", F.lit(s.custom_series_label))
 
 
 def trade_ts_union(s: Study) -> DataFrame:
     """Every version's series plus the custom one, from a single scan."""
-    both = F.when(
-        in_regime("hs_version", "year", open_start=True), F.array(F.col("hs_version"), F.lit(s.custom_series_label))
-    ).otherwise(F.array("hs_version"))
-    return trade_ts_by_version(s).withColumn("hs_version", F.explode(both))
+    series = trade_ts_by_version(s)
+    counts = in_regime("hs_version", "year", open_start=True)
+    if s.regimes is not None:
+        series = in_regime_table(series, s.regimes, s.regime, open_start=True, mark="_counts")
+        counts = F.col("_counts")
+    both = F.when(counts, F.array(F.col("hs_version"), F.lit(s.custom_series_label))).otherwise(F.array("hs_version"))
+    return series.withColumn("hs_version", F.explode(both)).select("year", "hs_version", "product_weight_t")

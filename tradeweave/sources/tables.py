@@ -6,8 +6,9 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tradeweave.functions.domains import REGIMES
+from tradeweave.functions.domains import COUNTRY_ALIASES, LDC_CODE_BY_NAME, REGIMES
 from tradeweave.sources import schemas
 
 # Years of the authoritative versions, the ranges a database is read by.
@@ -36,9 +37,10 @@ class TradeTables:
         return cls(**{name: read_csv(spark, f"{root}/{name}.csv", s) for name, s in schemas.TABLES.items()})
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, database: str | None = None) -> TradeTables:
-        prefix = f"{database}." if database else ""
-        return cls(**{name: spark.table(prefix + name) for name in schemas.TABLES})
+    def from_catalog(cls, spark: SparkSession, database: str | None = None, prefix: str = "") -> TradeTables:
+        """Tables or views of the declared names, in a database or under a prefix."""
+        where = f"{database}." if database else ""
+        return cls(**{name: spark.table(where + prefix + name) for name in schemas.TABLES})
 
     @classmethod
     def from_jdbc(
@@ -62,6 +64,13 @@ class TradeTables:
     def names(self) -> list[str]:
         return [f.name for f in fields(self)]
 
+    def register(self, prefix: str = "") -> list[str]:
+        """Put every table into the session's catalog as a view; returns their names.
+
+        ``from_catalog`` reads them back.
+        """
+        return register(self, prefix)
+
 
 def year_parts(per_year: int) -> list[str]:
     """Conditions that share rows out by year and by remainder of the record number."""
@@ -83,14 +92,77 @@ def versions_by_jdbc(spark: SparkSession, url: str, properties: dict[str, str])
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV with a header and "NA" for missing values."""
+    """CSV with a header and "NA" for missing values.
+
+    A cell that does not fit its type is missing; ``read_csv_checked`` tells them.
+    """
     return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
-def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Names of the tables and views in the catalog."""
-    names = [(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables(database)]
-    return spark.createDataFrame(names, "table_name string, table_type string, is_temporary boolean")
+@dataclass(frozen=True)
+class CheckedCsv:
+    """Rows that fit the declared types, and the text of those that do not."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+    def counts(self) -> DataFrame:
+        """One row: n_rows, n_rejected. Reads the files once for each."""
+        rows = self.rows.agg(F.count(F.lit(1)).alias("n_rows"))
+        return rows.withColumn("n_rejected", self.rejected.agg(F.count(F.lit(1))).scalar())
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema, header: bool = True) -> CheckedCsv:
+    """CSV as ``read_csv`` reads it, with the records that do not fit set aside.
+
+    A record is rejected when a cell cannot be read as its type, or when it has fewer
+    or more cells than the schema; "NA" and empty cells are missing and fit. ``rejected``
+    holds the file and the record as it stands there. Both are lazy. All columns are
+    parsed whatever is selected, or a fault in an unused one would go unseen.
+    """
+    wide = StructType([*schema.fields, StructField("_record", StringType(), True)])
+    options = CSV_OPTIONS | {
+        "header": header, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record", "columnPruning": False,
+    }
+    read = spark.read.schema(wide).options(**options).csv(path)
+    # Spark refuses to read the record alone; a test that is always true reads the cells
+    parsed = F.xxhash64(*schema.fieldNames()) >= F.lit(-(1 << 63)).cast("long")
+    read = read.select("*", F.col("_metadata.file_name").alias("_file")).where(parsed)
+    return CheckedCsv(
+        rows=read.where(F.col("_record").isNull()).select(*schema.fieldNames()),
+        rejected=read.where(F.col("_record").isNotNull()).select(
+            F.col("_file").alias("file"), F.col("_record").alias("record")
+        ),
+    )
+
+
+def country_names(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Names of the least developed countries with their codes, and other spellings of them."""
+    kind = "name string, iso3c string"
+    return tuple(spark.createDataFrame(list(m.items()), kind) for m in (LDC_CODE_BY_NAME, COUNTRY_ALIASES))
+
+
+def register(tables, prefix: str = "") -> list[str]:
+    """Put tables into the session's catalog as views named by the declared names."""
+    names = [f"{prefix}{name}" for name in schemas.TABLES]
+    for name in schemas.TABLES:
+        getattr(tables, name).createOrReplaceTempView(f"{prefix}{name}")
+    return names
+
+
+def list_tables(spark: SparkSession, database: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Tables and views in the catalog with their columns, one row per column.
+
+    Columns: table_name, table_type, is_temporary, position, column_name, data_type.
+    ``pattern`` is as in SHOW TABLES. The catalog is metadata; no table is read.
+    """
+    rows = []
+    for t in spark.catalog.listTables(database, pattern):
+        name = ".".join([*(t.namespace or []), t.name]) if not t.isTemporary else t.name
+        for i, c in enumerate(spark.catalog.listColumns(name)):
+            rows.append((t.name, t.tableType, t.isTemporary, i + 1, c.name, c.dataType))
+    kind = "table_name string, table_type string, is_temporary boolean, position int, column_name string, data_type string"
+    return spark.createDataFrame(rows, kind)
 
 
 def row_counts(tables: TradeTables) -> DataFrame:
