@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeweave.llm.tasks import bounded
+
 PROFILE = 400
 DOC_GRAMS = 300
 LONGEST = 3
@@ -68,19 +70,28 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     A code holds 21 bits per character. Grams of spaces alone are left out.
     """
     parts = []
-    for at in range(0, len(text or ""), SLICE):
-        x = _letters(text[max(0, at - 2) if at else 0 : at + SLICE])
-        if at == 0 or len(x):
-            x = np.concatenate([[32], x, [32]]) if len(x) else x
-        x = x.astype(np.int64)
-        if len(x) < 3:
+    text = (text or "").lower()
+    behind = np.array([32], np.int64)  # the last two signs met: grams may lie across slices
+    for at in range(0, len(text) + 1, SLICE):
+        x = _letters(text[at : at + SLICE]).astype(np.int64)
+        if at + SLICE > len(text):
+            x = np.concatenate([x, [32]])
+        if len(x) and x[0] == 32 and behind[-1] == 32:
+            x = x[1:]
+        if not len(x):
             continue
-        one = x[x != 32]
-        two = ((x[:-1] << 21) | x[1:])[(x[:-1] != 32) | (x[1:] != 32)]
-        three = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
-        three = three[x[1:-1] != 32]
+        k = len(behind)
+        x = np.concatenate([behind, x])
+        if len(x) > 1 and x[-1] == x[-2] == 32:
+            x = x[:-1]
+        one = x[k:][x[k:] != 32]
+        two = ((x[k - 1 : -1] << 21) | x[k:])[(x[k - 1 : -1] != 32) | (x[k:] != 32)]
+        i = max(k, 2)
+        three = ((x[i - 2 : -2] << 42) | (x[i - 1 : -1] << 21) | x[i:])[x[i - 1 : -1] != 32]
         codes, counts = np.unique(np.concatenate([one, two, three]), return_counts=True)
-        parts.append((codes, counts))
+        if len(codes):
+            parts.append((codes, counts))
+        behind = x[-2:]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(parts) == 1:
@@ -137,7 +148,7 @@ def profiles(labelled: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
     language.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = rows.mapInArrow(_count_languages, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(bounded(_count_languages), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -203,7 +214,7 @@ def identify_languages(docs: DataFrame, known: dict[str, np.ndarray]) -> DataFra
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(bounded(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
