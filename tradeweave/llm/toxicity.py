@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.llm.scratch import Scratch
+from tradeweave.llm.tasks import bounded
 
 #: Labelled documents that a model is fitted on at most; also bounds what is broadcast.
 TRAIN_DOCS = 40_000
@@ -294,7 +295,7 @@ def train(known: DataFrame, most_windows: int = TRAIN_WINDOWS) -> Chain:
     if not marked:
         return Chain()
     rows = known.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    found = rows.mapInArrow(_windows(marked, 1), "words array<string>, labels array<int>, place long")
+    found = rows.mapInArrow(bounded(_windows(marked, 1)), "words array<string>, labels array<int>, place long")
     sample = found.orderBy("place").limit(most_windows).collect()  # bounded by the limit
     chain = fit_chain([r["words"] for r in sample], [r["labels"] for r in sample])
     return _fit_documents(chain, rows)
@@ -320,7 +321,7 @@ def _fit_documents(chain: Chain, rows: DataFrame) -> Chain:
                 names=["a", "b", "toxic"],
             )
 
-    table = rows.mapInArrow(evidence, "a double, b double, toxic int").groupBy("a", "b", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    table = rows.mapInArrow(bounded(evidence), "a double, b double, toxic int").groupBy("a", "b", "toxic").agg(F.count(F.lit(1)).alias("n"))
     got = [(r["a"], r["b"], r["toxic"], r["n"]) for r in table.collect()]
     x = np.array([(1.0, a, b) for a, b, _, _ in got])
     y = np.array([float(t) for *_, t, _ in got])
@@ -419,7 +420,7 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
                 names=["doc_id", "score", "spans"],
             )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(bounded(run), SCHEMA)
 
 
 def reject_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
@@ -432,7 +433,7 @@ def reject_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataF
             clean = [score(t)[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
