@@ -110,18 +110,27 @@ def mix(
     )
 
 
+def _row_key(doc_id, size, source) -> Column:
+    """Document, size and source as one text; missing ones have a spelling of their own.
+
+    A plain key on both sides: join and window then use one and the same shuffle.
+    """
+    parts = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("-")) for c in (doc_id, size)]
+    name = F.col(source) if isinstance(source, str) else source
+    return F.concat(parts[0], F.lit(","), parts[1], F.coalesce(F.concat(F.lit(",="), name), F.lit(",-")))
+
+
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     """Every row as often as the mix takes it, with all its columns."""
     mixed = mix(docs, **settings)
-    key = F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"))
-    mixed = mixed.select(key.alias("_a"), "copies")
-    mixed = mixed.withColumn("_i", F.row_number().over(Window.partitionBy("_a").orderBy("copies")))
-    own = F.struct(docs["doc_id"].alias("d"), docs["source"].alias("s"), size_of(docs["text"]).alias("n"))
+    mixed = mixed.select(_row_key("doc_id", "size", "source").alias("_a"), "copies").groupBy("_a").agg(F.array_sort(F.collect_list("copies")).alias("_all"))
+    mixed = mixed.where(F.element_at("_all", -1) > 0)
+    own = _row_key(docs["doc_id"], size_of(docs["text"]), docs["source"])
     whole = F.struct(*[docs[c] for c in docs.columns])
-    rows = docs.select(own.alias("_b"), whole.alias("_doc"))
-    # rows alike in id, source and size are told apart by their place
-    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_doc.text"))))
-    taken = rows.join(mixed.where("copies > 0"), (F.col("_a") == F.col("_b")) & (F.col("_i") == F.col("_j")))
+    rows = docs.select(own.alias("_b"), whole.alias("_doc")).join(mixed, F.col("_a") == F.col("_b"))
+    # rows alike in id, source and size are told apart by their place; the join has dealt them out
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_doc")))
+    taken = rows.withColumn("copies", F.element_at("_all", place.cast("int"))).where("copies > 0")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")
 
 
