@@ -7,7 +7,7 @@ taken only of texts whose length and prefix are shared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.llm.scratch import Scratch
@@ -25,23 +25,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def duplicate_groups(docs: DataFrame, with_hash: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_hash of every row.
+def _shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lengths and prefixes (_l, _p) that more than one of the rows has.
 
-    Texts are equal when their normalised forms are. The row with the smallest
-    doc_id of a group stays; a row without doc_id gives way to any other, and a
-    group of such rows has no keep_id and stays. Repeated rows of one doc_id count
-    as rows and share its fate. ``text_hash`` is missing for texts that no other
-    text could equal, unless ``with_hash`` asks for it everywhere. Empty and missing
-    texts form one group.
+    Counts per length and prefix serve both steps: they sum to counts per length.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "exact")
-    text = normalised(docs["text"])
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("_text"))
-    rows = rows.withColumn("_length", F.octet_length("_text")).withColumn(
-        "_prefix", F.xxhash64(F.substring("_text", 1, PREFIX))
-    )
-    # counts per length and prefix serve both steps: they sum to counts per length
     counts = scratch.table(rows.groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "counts")
     lengths = counts.groupBy("_length").agg(F.sum("_n").alias("_of_length")).where("_of_length > 1")
     shared = (
@@ -49,18 +37,38 @@ def duplicate_groups(docs: DataFrame, with_hash: bool = False, scratch: Scratch
         .join(lengths.select(F.col("_length").alias("_l")), F.col("_length") == F.col("_l"), "left_semi")
         .select(F.col("_length").alias("_l"), F.col("_prefix").alias("_p"), F.lit(True).alias("_shared"))
     )
-    met = rows.join(shared, (F.col("_length") == F.col("_l")) & (F.col("_prefix") == F.col("_p")), "left")
-    full = sha256(F.col("_text"))
-    hashed = scratch.table(
-        met.select(
-            "doc_id",
-            "_length",
-            "_prefix",
-            F.coalesce("_shared", F.lit(False)).alias("_shared"),
-            (full if with_hash else F.when(F.col("_shared"), full)).alias("text_hash"),
-        ),
-        "hashed",
-    )
+    return scratch.table(shared, "shared", counts.count())
+
+
+def _measured(text: Column) -> list[Column]:
+    text = normalised(text)
+    return [F.octet_length(text).alias("_length"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("_prefix")]
+
+
+def duplicate_groups(docs: DataFrame, with_hash: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_hash of every row.
+
+    Texts are equal when their normalised forms are. The row with the smallest
+    doc_id of a group stays; a row without doc_id gives way to any other, and a
+    group of such rows has no keep_id and stays. Repeated rows of one doc_id count
+    as rows and share its fate. ``text_hash`` is missing for texts that no other
+    text could equal, unless ``with_hash`` asks for it everywhere; it is then taken
+    while the texts are read, and no text is shuffled. Empty and missing texts form
+    one group.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "exact")
+    met = (F.col("_length") == F.col("_l")) & (F.col("_prefix") == F.col("_p"))
+    if with_hash:
+        full = sha256(normalised(docs["text"])).alias("text_hash")
+        rows = scratch.table(docs.select(docs["doc_id"].alias("doc_id"), *_measured(docs["text"]), full), "measured")
+        hashed = rows.join(_shared(rows, scratch), met, "left").withColumn("_shared", F.col("_shared").isNotNull())
+    else:
+        rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("_text"), *_measured(docs["text"]))
+        found = rows.join(_shared(rows, scratch), met, "left").select(
+            "doc_id", "_length", "_prefix", F.col("_shared").isNotNull().alias("_shared"),
+            F.when(F.col("_shared"), sha256(normalised(F.col("_text")))).alias("text_hash"),
+        )
+        hashed = scratch.table(found, "hashed")
     groups = (
         hashed.where("_shared")
         .groupBy("_length", "_prefix", "text_hash")
@@ -79,19 +87,36 @@ def duplicate_groups(docs: DataFrame, with_hash: bool = False, scratch: Scratch
     )
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row of each group of equal texts, with all its columns.
 
-    Rows without doc_id stay only where no row of their group has one.
+    The row with the smallest doc_id stays, of several the one with the smallest hash
+    over all columns, so that reruns agree; rows without doc_id stay only where no row
+    of their group has one. Full hashes are taken only of texts whose length and
+    prefix another row shares; all other rows pass as they are read.
     """
-    kept = duplicate_groups(docs, with_hash=True).where("kept").select(
-        F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("_row")
+    scratch = scratch or Scratch(docs.sparkSession, "exact")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(whole.alias("_doc"), docs["doc_id"].alias("_id"), docs["text"].alias("_text"), *_measured(docs["text"]))
+    shared = _shared(docs.select(*_measured(docs["text"])), scratch)
+    met = (F.col("_length") == F.col("_l")) & (F.col("_prefix") == F.col("_p"))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.xxhash64("_doc").alias("row"))
+    rows = rows.join(shared, met, "left").select(
+        "_doc", F.when(F.col("_shared"), sha256(normalised(F.col("_text")))).alias("_hash"),
+        F.when(F.col("_shared"), place).alias("_place"),
+    )
+    rows = scratch.table(rows, "rows")  # texts move once, or not at all where what is shared is small
+    alone, hashed = rows.where("_hash is null").select("_doc"), rows.where("_hash is not null")
+    first = scratch.table(hashed.groupBy("_hash").agg(F.min("_place").alias("_first")), "first")
+    first = first.select(F.col("_hash").alias("_h"), F.col("_first.none").alias("_none"), F.col("_first.id").alias("_least"), F.col("_first.row").alias("_row"))
+    is_first = (
+        (F.col("_hash") == F.col("_h"))
+        & F.col("_place.id").eqNullSafe(F.col("_least"))
+        & (F.col("_place.row") == F.col("_row"))
     )
-    key = F.struct(docs["doc_id"].alias("i"), sha256(normalised(docs["text"])).alias("h"))
-    keyed = docs.select(key.alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    one = Window.partitionBy("_key").orderBy(F.lit(0))
-    stay = keyed.join(kept, F.col("_key") == F.col("_row"), "left_semi").withColumn("_n", F.row_number().over(one))
-    return stay.where("_n = 1").select("_doc.*")
+    # rows alike in every column: any of them
+    stay = hashed.join(first, is_first, "left_semi").groupBy("_hash").agg(F.first("_doc").alias("_doc")).select("_doc")
+    return alone.unionByName(stay).select("_doc.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
