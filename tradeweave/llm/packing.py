@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeweave.llm.tasks import bounded
 from tradeweave.llm.tokens import IDS, encoder
 
 WINDOW = 1024
@@ -25,7 +26,7 @@ END_ID = 0
 #: Entries of a worker's table of encoded words.
 WORDS_KEPT = 500_000
 #: Tokens that a task holds before it packs them.
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 2_000_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -127,35 +128,36 @@ class _Packer:
         )
         self.sequence += int(place.max()) + 1 if len(place) else 0
         self.docs, self.tokens = [], 0
-        for at in range(0, batch.num_rows, 4096):
-            yield batch.slice(at, 4096)
+        for at in range(0, batch.num_rows, 1024):
+            yield batch.slice(at, 1024)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, words_kept: int = WORDS_KEPT
+) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens.
 
     One row per piece: doc_id, start (its document's ids before it), length,
     doc_tokens (with the end id), sequence_id, offset in the sequence, and the ids
     as little-endian unsigned 32-bit integers. A missing or empty text is the end
     id alone. Repeated rows and rows without doc_id are packed like any other, each
-    on its own. The text of a sequence is its pieces in order of offset.
+    on its own. The text of a sequence is its pieces in order of offset. ``words_kept``
+    bounds the table of encoded words that a worker keeps; it changes nothing else.
     """
     end = np.array([end_id], IDS).tobytes()
 
     def pack_partition(batches):
-        encode = encoder(tokenizer, WORDS_KEPT).encode
+        encode = encoder(tokenizer, words_kept).encode
         packer = _Packer(window, TaskContext.get().partitionId())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                names = part.column(0).to_pylist()
-                for doc_id, ids in zip(names, encode(part.column(1).to_pylist()), strict=True):
-                    if packer.add(doc_id, ids + end):
-                        yield from packer.flush()
+            names = batch.column(0).to_pylist()
+            for doc_id, ids in zip(names, encode(batch.column(1).to_pylist()), strict=True):
+                if packer.add(doc_id, ids + end):
+                    yield from packer.flush()
         yield from packer.flush()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
-    return rows.mapInArrow(pack_partition, SCHEMA)
+    return rows.mapInArrow(bounded(pack_partition), SCHEMA)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
