@@ -21,12 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.llm.graph import components
+from tradeweave.llm.graph import components, join_hot
 from tradeweave.llm.scratch import Scratch
+from tradeweave.llm.tasks import bounded
 
 PERMUTATIONS = 64
 BAND_ROWS = 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
+#: A shingle set counts as so many small rows when files are sized.
+SET_FILES = 32
 #: Members of a group that a task compares with as many others.
 BLOCK = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -91,22 +94,20 @@ def set_key(shingles: np.ndarray) -> bytes | None:
 def _sketch(words: int):
     def sketch(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                keys = [set_key(s) for s in sets]
-                bands = [band_keys(signature(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.ListArray.from_arrays(
-                            np.cumsum([0] + [len(b) for b in bands]).astype(np.int32), np.concatenate(bands)
-                        ),
-                    ],
-                    names=["doc_id", "n", "node", "bands"],
-                )
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            keys = [set_key(s) for s in sets]
+            bands = [band_keys(signature(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    pa.ListArray.from_arrays(
+                        np.cumsum([0] + [len(b) for b in bands]).astype(np.int32), np.concatenate(bands)
+                    ),
+                ],
+                names=["doc_id", "n", "node", "bands"],
+            )
 
     return sketch
 
@@ -116,23 +117,21 @@ def _sets(words: int):
 
     def sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [
-                    (node, s)
-                    for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                    if set_key(s := shingle_set(t, words)) == node
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([n for n, _ in found], pa.binary()),
-                        pa.ListArray.from_arrays(
-                            np.cumsum([0] + [len(s) for _, s in found]).astype(np.int32),
-                            np.concatenate([s.view(np.int64) for _, s in found] or [np.zeros(0, np.int64)]),
-                        ),
-                    ],
-                    names=["node", "shingles"],
-                )
+            found = [
+                (node, s)
+                for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                if set_key(s := shingle_set(t, words)) == node
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([n for n, _ in found], pa.binary()),
+                    pa.ListArray.from_arrays(
+                        np.cumsum([0] + [len(s) for _, s in found]).astype(np.int32),
+                        np.concatenate([s.view(np.int64) for _, s in found] or [np.zeros(0, np.int64)]),
+                    ),
+                ],
+                names=["node", "shingles"],
+            )
 
     return sets
 
@@ -176,17 +175,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     scratch = scratch or Scratch(docs.sparkSession, "near")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
     sketches = scratch.table(
-        rows.mapInArrow(_sketch(words), "doc_id long, n long, node binary, bands array<long>"), "sketches"
+        rows.mapInArrow(bounded(_sketch(words)), "doc_id long, n long, node binary, bands array<long>"), "sketches"
     )
+    documents = sketches.count()
     # equal sets are one node
     nodes = sketches.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     ids = scratch.table(
         nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "nodes",
+        documents,
     )
     banded = ids.select("node", "n", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = scratch.table(banded.join(buckets, "key"), "members")
+    members = scratch.table(banded.join(buckets, "key"), "members", BANDS * documents)
     shared = members.groupBy("node").agg(F.sum("members").alias("weight"))
     leaders = (
         members.join(shared, "node")
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         .agg(F.max(F.struct("weight", "node", "n")).alias("_l"))
         .select("key", F.col("_l.node").alias("leader"), F.col("_l.n").alias("leader_n"))
     )
-    led = scratch.table(members.join(leaders, "key"), "led")
+    led = scratch.table(members.join(leaders, "key"), "led", BANDS * documents)
     scratch.drop(members)
     pairs = (
         led.where((F.col("node") != F.col("leader")) & _linkable(F.col("n"), F.col("leader_n"), percent))
@@ -205,23 +206,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     sets = scratch.table(
         rows.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
         .select("node", "text")
-        .mapInArrow(_sets(words), "node binary, shingles array<long>")
+        .mapInArrow(bounded(_sets(words)), "node binary, shingles array<long>")
         .dropDuplicates(["node"]),
         "sets",
+        SET_FILES * documents,
     )
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b").join(
             sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a"
         )
-        checked = both.select("a", "b", "_x", "_y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean")
-        return scratch.table(checked.where("linked").select("a", "b"), name)
+        checked = both.select("a", "b", "_x", "_y").mapInArrow(bounded(_confirm(percent)), "a binary, b binary, linked boolean")
+        return scratch.table(checked.where("linked").select("a", "b"), name, BANDS * documents)
 
     links = confirmed(pairs, "links")
-    roots = components(links, scratch)
-    more = scratch.table(_left_over(led, sets, roots, percent, scratch), "more")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more), scratch)
+    n_links = links.count()
+    roots = components(links, scratch, n_links)
+    more = scratch.table(_left_over(led, sets, roots, percent, scratch, documents), "more", BANDS * documents)
+    n_more = more.count()
+    if n_more:
+        roots = components(links.unionByName(more), scratch, n_links + n_more)
     scratch.drop(led, sets)
     # a root is a node; its component's id is the smallest doc_id in it
     named = ids.join(roots, "node").select("node", "root", "doc_id")
@@ -231,9 +235,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     known = alone.join(named, F.col("_same") == F.col("_node"), "left").select(
         F.col("_same").alias("_node"), F.coalesce("_component", "_first").alias("_component")
     )
-    out = sketches.select("doc_id", "n", "node").join(
-        known, (F.col("node") == F.col("_node")) & F.col("doc_id").isNotNull(), "left"
-    )
+    # many rows may share a node; all that have one and a doc_id are known
+    named = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    rows = sketches.select("doc_id", "n", "node", named.alias("_named"))
+    known = scratch.table(known, "components", documents)
+    out = join_hot(rows.where("_named"), "node", known, "_node", documents).drop("_node")
+    out = out.unionByName(rows.where("not _named").withColumn("_component", F.lit(None).cast("long")))
     component = F.coalesce("_component", "doc_id")
     return out.select(
         "doc_id",
@@ -275,7 +282,7 @@ def _compare_left(percent: int):
     return compare
 
 
-def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch, documents: int) -> DataFrame:
     """Links (a, b) between components, among the nodes that share a leader.
 
     Nodes that share a bucket share its leader. A link of x needs
@@ -292,7 +299,7 @@ def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int,
         .where("_roots > 1")
         .select("leader", F.col("_main.root").alias("_largest"))
     )
-    rest = scratch.table(rest.join(largest, "leader").withColumn("main", F.col("root") == F.col("_largest")), "rest")
+    rest = scratch.table(rest.join(largest, "leader").withColumn("main", F.col("root") == F.col("_largest")), "rest", BANDS * documents)
     left = sets.join(rest.select("node").distinct(), "node", "left_semi")
     single = (
         left.select("node", F.explode("shingles").alias("s"))
@@ -305,7 +312,7 @@ def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int,
     known = rest.join(single, "node", "left").withColumn("c", F.col("n") - F.coalesce("_single", F.lit(0)))
     # the partner has at least percent of the size
     known = known.where(100 * F.col("c") >= percent * F.col("n")).select("leader", "node", "n", "root", "main", "c")
-    known = scratch.table(known, "known")
+    known = scratch.table(known, "known", BANDS * documents)
     blocks = (
         known.groupBy("leader")
         .agg(

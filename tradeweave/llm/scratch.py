@@ -43,6 +43,10 @@ def commit_file(store, temporary: str, final: str) -> None:
     store.move(temporary, final)
 
 
+#: Rows of a file, where the number of rows is known and a row is small.
+FILE_ROWS = 1 << 18
+
+
 class Scratch:
     """Tables of one run, below one fresh folder.
 
@@ -67,8 +71,17 @@ class Scratch:
         fs.mkdirs(p)
         return path
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+        """The table, written and read back.
+
+        ``most_rows``, a bound on its rows, says how many files it needs: as many as
+        the cluster has cores twice over, or more where they would hold more than
+        FILE_ROWS rows each. Without it every partition is a file, and small tables
+        over many partitions cost more in files than in rows.
+        """
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        if most_rows is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-most_rows // FILE_ROWS)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
