@@ -265,3 +265,31 @@ def test_pipeline_stages_pass_on_documents(spark):
         assert stage(spark, docs, base).columns == docs.columns, name
     packed = corpus_pipeline.run(spark, base)
     assert packed.select(F.sum("length")).first()[0] > 0
+
+
+def test_shards_are_bounded_whatever_the_ids(spark):
+    body = lambda k: f"{k} " + "x" * 900
+    outlier = [(i, "u", body(i)) for i in range(300)] + [(10**15, "u", body("far")), (-(10**12), "u", body("near"))]
+    nameless = [(None, "u", body(i)) for i in range(300)]
+    one = [(7, "u", body(i)) for i in range(300)]
+    for rows in (outlier, nameless, one):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        manifests = []
+        for parts in (1, 6):
+            folder = Scratch(spark, "w").folder("warc")
+            listed = warc.write_archives(df.repartition(parts), folder, shard_bytes=30_000).collect()
+            manifests.append(sorted(tuple(r) for r in listed))
+            out = warc.read_archives(spark, folder).collect()
+            assert sorted((r["page_id"] or -1, r["payload"].decode()) for r in out) == sorted((i or -1, t) for i, _, t in rows)
+        assert manifests[0] == manifests[1]
+        records = [r[1] for r in manifests[0]]
+        assert len(records) >= 10 and max(records) <= 30_000 // 1300 + 2, records
+
+
+def test_record_ids_are_unique(spark):
+    rows = [(1, "u", "a" * 200), (1, "u", "a" * 200), (1, "u", "b" * 200), (None, "u", "c"), (None, "u", "d"), (2, "u", "a" * 200)]
+    folder = Scratch(spark, "w").folder("warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).collect()
+    ids = [h["warc-record-id"] for f in files for h, _ in warc.records(f["content"])]
+    assert len(ids) == len(set(ids)) == len(rows) + len(files)

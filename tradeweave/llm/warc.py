@@ -1,8 +1,10 @@
 """Deterministic WARC shards: written, committed by renaming, and read back.
 
-Records are sorted by page id within shards. The bounds of the shards follow from
-the bytes per range of ids, so that the same pages give the same files whatever the
-cluster; a shard rolls to a further file when its compressed size reaches a limit.
+Records are range-sorted by page id and digest: small keys first, whose running sum of
+bytes is cut into shards, then the pages, each sent to its shard. The cuts follow from
+the data alone, so that the same pages give the same files whatever the cluster, and
+every shard is one task of bounded size; a shard rolls to a further file when its
+compressed size reaches a limit.
 Headers and digests are made anew from the payload. Files are written under a
 temporary name and renamed; the manifest, a table, lists those that count.
 """
@@ -17,8 +19,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,9 @@ from tradeweave.llm.scratch import Scratch, commit_file
 
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
-#: Ranges of ids that bytes are counted in, at most.
-RANGES = 8192
 LEAST_REVISIT = 100
+#: Stands for a missing id, before all others.
+LEAST_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,17 +47,19 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+def page_record(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE, again: str = ""
+) -> bytes:
     """The response, or the revisit of another page with the same payload.
 
     Control characters and spaces in a URL are percent-encoded; a missing URL is
-    about:blank, a missing id an empty one.
+    about:blank, a missing id an empty one. ``again`` tells records of one id apart.
     """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
     headers = [
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{again}{'' if page_id is None else page_id}>"),
         ("WARC-Target-URI", target),
         ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
@@ -100,7 +106,7 @@ def _writer(folder: str, file_bytes: int):
             held, size, count = [], 0, 0
             return pa.RecordBatch.from_pydict(row)
 
-        page, firsts = None, {}
+        page, firsts, nth = None, {}, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cols = [c.to_pylist() for c in batch.slice(at, 256).columns]
@@ -108,9 +114,9 @@ def _writer(folder: str, file_bytes: int):
                     if own != shard:
                         if count:
                             yield flush()
-                        shard, part, page, firsts = own, 0, None, {}
+                        shard, part, page, firsts, nth = own, 0, None, {}, 0
                     if page_id != page:
-                        page, firsts = page_id, {}
+                        page, firsts, nth = page_id, {}, 0
                     if not kind:  # what a page's payload refers to comes before the page
                         firsts[digest] = first
                         continue
@@ -118,7 +124,10 @@ def _writer(folder: str, file_bytes: int):
                         info = record("warcinfo", [("WARC-Record-ID", f"<urn:file:{own}:{part}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                         held.append(info)
                         size += len(info)
-                    made = page_record(page_id, url, payload, firsts.get(digest))
+                    # a page that repeats an id, or has none, gets a number before it
+                    again = f"{own}-{nth}:" if nth or page_id is None else ""
+                    nth += 1
+                    made = page_record(page_id, url, payload, firsts.get(digest), again=again)
                     held.append(made)
                     size += len(made)
                     count += 1
@@ -130,13 +139,83 @@ def _writer(folder: str, file_bytes: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+def _digest_number(digest: str):
+    """The first 48 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+
+def _running(batches) -> Iterator[pa.RecordBatch]:
+    """Bytes before each row of the task's sorted keys."""
+    before = 0
+    for batch in batches:
+        size = batch.column(2).to_numpy(zero_copy_only=False)
+        ends = before + np.cumsum(size)
+        part = np.full(batch.num_rows, TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(part), pa.array(ends - size)],
+            names=["page_id", "place", "bytes", "part", "before"],
+        )
+        before = int(ends[-1]) if len(ends) else before
+
+
+def _bounds(rows: DataFrame, shard_bytes: int, scratch: Scratch) -> list[tuple[int, int]]:
+    """The first (page_id, digest number) of every shard, in order.
+
+    Keys are sorted over the cluster with the running sum of their task; the tasks'
+    sums give what comes before each. The driver gets two numbers per shard of
+    ``shard_bytes``.
+    """
+    keys = rows.select("page_id", _digest_number("digest").alias("place"), (F.col("size") + 400).cast("long").alias("bytes"))
+    keys = keys.repartitionByRange("page_id", "place").sortWithinPartitions("page_id", "place")
+    keys = scratch.table(
+        keys.mapInArrow(_running, "page_id long, place long, bytes long, part int, before long"), "keys"
+    )
+    parts = keys.groupBy("part").agg(F.sum("bytes").alias("_bytes"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_base"))
+    shard = F.floor((F.col("_base") + F.col("before")) / F.lit(shard_bytes))
+    first = keys.join(parts, F.col("part") == F.col("_part")).groupBy(shard.alias("shard")).agg(
+        F.min(F.struct(F.coalesce("page_id", F.lit(LEAST_ID)).alias("i"), F.col("place").alias("d"))).alias("f")
+    )
+    found = sorted({(r["f"]["i"], r["f"]["d"]) for r in first.collect()})
+    scratch.drop(keys)
+    return [(LEAST_ID, -1), *found[1:]]
+
+
+def _place(bounds: list[tuple[int, int]]):
+    """Shard of pages, from their ids and digest numbers."""
+    import pandas as pd
+
+    ids, places = (np.array(x, np.int64) for x in zip(*bounds, strict=True))
+
+    def place(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        i = page_id.astype("Int64").fillna(LEAST_ID).to_numpy(np.int64)
+        low, high = np.searchsorted(ids, i, "left"), np.searchsorted(ids, i, "right")
+        shard = high - 1
+        for k in np.flatnonzero(low < high).tolist():  # a shard begins within the rows of this id
+            shard[k] = low[k] - 1 + np.searchsorted(places[low[k] : high[k]], digest.iat[k], "right")
+        return pd.Series(np.maximum(shard, 0).astype(np.int32))
+
+    # plain names: the annotations above are texts, and the function is sent without this module's
+    place.__annotations__ = {"page_id": pd.Series, "digest": pd.Series, "return": pd.Series}
+    return place
+
+
+def write_archives(
+    pages: DataFrame,
+    folder: str,
+    shard_bytes: int = SHARD_BYTES,
+    file_bytes: int = FILE_BYTES,
+    scratch: Scratch | None = None,
+) -> DataFrame:
     """Write all pages (page_id, url, html) and return the manifest.
 
     Of pages with equal payloads of at least 100 bytes the one with the smallest
     page_id is a response, the others revisit it; missing html is an empty payload,
     and all smaller ones are responses. Pages without id are written too, first of
-    all; they revisit a page that has an id. Rows that repeat an id are written each.
+    all; they revisit a page that has an id. Rows that repeat an id are written each,
+    under a record id with a number. Shards hold about ``shard_bytes``; only rows alike
+    in id and payload are never parted.
     """
     rows = pages.select(
         pages["page_id"].cast("long").alias("page_id"),
@@ -144,17 +223,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
         F.coalesce(pages["html"], F.lit("")).cast("binary").alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    # shards: equal ranges of ids are counted, and cut where the bytes add up
-    ends = rows.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, high = ends["low"] or 0, ends["high"] or 0
-    width = (high - low) // RANGES + 1
-    span = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(-1))
-    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    shards = (
-        rows.groupBy(span.alias("span"))
-        .agg(F.sum(F.col("size") + 400).alias("bytes"))
-        .select("span", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / shard_bytes).cast("int").alias("shard"))
-    )
+    bounds = _bounds(rows, shard_bytes, scratch or Scratch(pages.sparkSession, "shards"))
     large = rows.where(F.col("size") >= LEAST_REVISIT).select("digest", "page_id")
     groups = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     revisits = large.join(groups.select(F.col("digest").alias("_d"), "first"), F.col("digest") == F.col("_d")).where(
@@ -164,10 +233,10 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     both = rows.select("page_id", F.lit(True).alias("kind"), "digest", none.cast("long").alias("first"), "url", "payload").unionByName(
         revisits.select("page_id", F.lit(False).alias("kind"), "digest", "first", none.cast("string").alias("url"), none.cast("binary").alias("payload"))
     )
-    placed = both.withColumn("span", span).join(F.broadcast(shards), "span")  # at most RANGES + 2 rows
+    shard = F.pandas_udf(_place(bounds), "int")("page_id", _digest_number("digest"))
     ordered = (
-        placed.select("shard", "page_id", "kind", "digest", "first", "url", "payload")
-        .repartition("shard")
+        both.select(shard.alias("shard"), "page_id", "kind", "digest", "first", "url", "payload")
+        .repartitionById(len(bounds), "shard")
         .sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
     )
     written = ordered.mapInArrow(_writer(folder, file_bytes), "file string, records long, bytes long, sha256 string")
@@ -215,7 +284,7 @@ def read_archives(spark, folder: str) -> DataFrame:
     listed = spark.read.parquet(f"{folder}/_manifest").select(F.col("file").alias("_file"), "sha256")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    found = files.join(F.broadcast(listed), F.col("file") == F.col("_file"))  # a row per file
+    found = files.join(listed, F.col("file") == F.col("_file"))
     return found.select("file", "content", "sha256").mapInArrow(
         _read,
         "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary",
