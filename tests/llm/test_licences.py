@@ -150,13 +150,30 @@ def test_a_sentence_gives_all_its_licences(spark):
 #: One example of every pattern, without other words of licensing where it can do without.
 EXAMPLES = {
     "spdx_mit": "SPDX-License-Identifier: MIT",
+    "spdx_mit0": "SPDX-License-Identifier: MIT-0",
     "spdx_apache2": "SPDX-License-Identifier: Apache-2.0",
     "spdx_gpl2": "SPDX-License-Identifier: GPL-2.0",
+    "spdx_gpl2_later": "SPDX-License-Identifier: GPL-2.0+",
     "spdx_gpl3": "SPDX-License-Identifier: GPL-3.0",
+    "spdx_gpl3_later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx_agpl3": "SPDX-License-Identifier: AGPL-3.0-only",
+    "spdx_lgpl": "SPDX-License-Identifier: LGPL-2.1",
     "spdx_bsd3": "SPDX-License-Identifier: BSD-3-Clause",
     "spdx_bsd2": "SPDX-License-Identifier: BSD-2-Clause",
     "spdx_mpl2": "SPDX-License-Identifier: MPL-2.0",
     "spdx_isc": "SPDX-License-Identifier: ISC",
+    "spdx_unlicense": "SPDX-License-Identifier: Unlicense",
+    "spdx_cc0": "License: CC0-1.0",
+    "spdx_bsl1": "SPDX-License-Identifier: BSL-1.0",
+    "spdx_epl2": "SPDX-License-Identifier: EPL-2.0",
+    "title_apache2": "Apache License Version 2.0, January 2004",
+    "title_gpl2": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "title_gpl3": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "title_agpl3": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "title_lgpl": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "title_mpl2": "Mozilla Public License Version 2.0",
+    "title_bsl1": "Boost Software License - Version 1.0",
+    "title_epl2": "Eclipse Public License - v 2.0",
     "by_mit": "available under the Expat licence",
     "by_apache2": "licensed under the Apache License 2.0",
     "apache_not": "you may not use this file except in compliance with the License",
@@ -200,3 +217,92 @@ def test_every_pattern_gets_past_the_filters(spark):
     lost = [(n, r["sequence"]) for n, r in zip([*EXAMPLES] * 2, scan(spark, texts), strict=True) if n not in r["sequence"]]
     assert not lost, (len(lost), lost)
     assert [r["sequence"] for r in scan(spark, ["a public event, later", "", None])] == [[], [], []]
+
+
+def test_tags_are_taken_as_they_stand(spark):
+    tags = {
+        "GPL-3.0-or-later": ["GPL-3.0-or-later"], "GPL-2.0+": ["GPL-2.0-or-later"], "MIT-0": ["MIT-0"],
+        "AGPL-3.0-only": ["AGPL-3.0"], "LGPL-2.1": ["LGPL"], "Unlicense": ["Unlicense"], "GPL-2.0-only.": ["GPL-2.0"],
+        "(MIT OR (Apache-2.0 AND GPL-3.0+))": ["MIT", "Apache-2.0", "GPL-3.0-or-later"],
+        "MITNFA": [], "GPL-2.0-with-classpath": [], "Apache-2.0.1": [],
+    }
+    got = scan(spark, [f"# SPDX-License-Identifier: {t}" for t in tags])
+    assert [r["licences"] for r in got] == list(tags.values())
+    headings = scan(spark, ["License: BSD-3-Clause", "Licence: MIT, see below", "The license: whatever"])
+    assert [r["licences"] for r in headings] == [["BSD-3-Clause"], ["MIT"], []]
+
+
+def test_a_later_clause_belongs_to_its_notice(spark):
+    texts = {
+        "Under the GNU General Public License, version 3 only. Part two: under the GNU General Public License, version 2, or any later version.": ["GPL-3.0", "GPL-2.0-or-later"],
+        f"{GPL3}\n\nThe tools are licensed under the GNU General Public License, version 3.": ["GPL-3.0-or-later", "GPL-3.0"],
+        f"{BSD2}\n{BSD3}": ["BSD-3-Clause", "BSD-2-Clause"],
+        f"{BSD3}\n{MIT}": ["MIT", "BSD-3-Clause"],
+        "Permission is hereby granted, free of charge, to any person obtaining a copy. Released under the MIT License. "
+        "The above copyright notice and this permission notice shall be included.": ["MIT"],
+        "Permission is hereby granted, free of charge, to any person obtaining a copy. SPDX-License-Identifier: ISC\n\n"
+        "The above copyright notice and this permission notice shall be included.": ["ISC"],
+    }
+    assert [r["licences"] for r in scan(spark, texts)] == list(texts.values())
+
+
+def test_denied_licences_are_not_reported(spark):
+    texts = [
+        "This is not licensed under the MIT license.",
+        "The code isn't released under the MIT license",
+        "It is no longer licensed under the Apache License, Version 2.0",
+        "Not distributed under the terms of the GNU General Public License, version 2",
+    ]
+    for r in scan(spark, texts):
+        assert r["licences"] == [] and r["n_sentences"] == 1
+
+
+def test_titles_of_whole_texts(spark):
+    texts = {
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007": ["GPL-3.0"],
+        "Boost Software License - Version 1.0 - August 17th, 2003": ["BSL-1.0"],
+        "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM": ["EPL-2.0"],
+        "Apache License\nVersion 2.0, January 2004": ["Apache-2.0"],
+    }
+    assert [r["licences"] for r in scan(spark, texts)] == list(texts.values())
+
+
+def plain(text):
+    """Sequence and licences by Python's own means, rules walked identifier by identifier."""
+    import regex
+
+    lower = regex.sub(licences.COMMENT, "", (text or "").replace("\r\n", "\n").replace("\r", "\n"), flags=regex.V0).lower()
+    if not regex.search(licences.MAY_SPEAK, (text or "").lower()):
+        return [], []
+    flat = regex.sub(r"[ \t\n\x0b\f\r]+", " ", regex.sub(licences.STOP, lambda m: (m[1] or "") + licences.BREAK, lower))
+    sequence = []
+    for s in flat.split(licences.BREAK):
+        if regex.search(licences.SPEAKS, s):
+            met = [(m.start(), i, name) for i, (name, p) in enumerate(licences.SENTENCES) if (m := regex.search(p, s))]
+            sequence += [name for _, _, name in sorted(met)] or [licences.UNKNOWN]
+    notices, found = [], {}
+    for name in sequence:
+        if name.startswith(licences.BEGINS) or not notices:
+            notices.append([])
+        notices[-1].append(name)
+    for licence, ids, without in licences.RULES:
+        for n in notices:
+            rest, ok = list(n), True
+            for i in ids:
+                ok = ok and i in rest
+                rest = rest[rest.index(i) + 1 :] if ok else rest
+            if ok and without not in rest:
+                found[licence] = True
+    return sequence, list(found)
+
+
+def test_documents_equal_plain_python(spark):
+    from tests.conftest import SMALL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["sequence"], r["licences"]) for r in licences.licences(docs).collect()}
+    assert got == {i: plain(t) for i, t in texts.items()} and any(found for _, found in got.values())
+    for t in [*NOTICES, GPL2, GPL3, *EXAMPLES.values()]:
+        (r,) = scan(spark, [t])[:1] if t in (GPL2, GPL3) else [None]
+        assert r is None or (r["sequence"], r["licences"]) == plain(t)

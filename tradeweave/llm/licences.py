@@ -15,36 +15,59 @@ from pyspark.sql import functions as F
 #: Words and phrases one of which any known licence sentence holds. Fixed values.
 SPEAKS = (
     r"licen[cs]e|copyright|warrant(y|ies)|permission|redistribut|\bliab(le|ility)\b|spdx|public domain|provided [^a-z]?as is|\bgpl\b|endorse or promote|creative commons"
-    r"|\bcc[ -]by|\bcc0\b|all rights reserved|or \(?at your option\)? any later version"
+    r"|\bcc[ -]by|\bcc0\b|all rights reserved|\bor (\(?at your option\)?,? )?any later version"
     r"|unless required by applicable law|in no event (shall|will) the"
 )
 #: Single words one of which any text with such a sentence holds: phrases may run over lines.
 MAY_SPEAK = r"licen[cs]e|copyright|warrant|permission|redistribut|\bliab|spdx|public|provided|\bgpl\b|endorse|commons|\bcc\b|\bcc0|reserved|later|applicable|event"
 
-#: What may stand before the licence that is looked for, in an SPDX expression or a list of two.
-SPDX = r"spdx-license-identifier: ?(?:[a-z0-9.+()-]+ (?:and|or|with) )*\(*"
+#: What may stand before the licence that is looked for, in a tag's expression or a list of two.
+TAG = r"(?:spdx-license-identifier|\blicen[cs]e): ?\(*(?:[a-z0-9.+()-]+ (?:and|or|with) \(*)*"
+#: Where a tag's name ends: "mit" is not "mit-0", "gpl-2.0" not "gpl-2.0+".
+ENDS = r"(?![a-z0-9+-]|\.[a-z0-9])"
 LISTED = r"(?:either (?:of )?)?(?:the )?(?:(?:mit|expat|apache) licen[cs]e,? ?(?:\(?(?:version |v)?2\.0\)?)?,?(?: \([^()]*\))? ?(?:and/or|and|or) (?:the )?)?"
+#: A grant that is denied is none.
+GRANTED = r"(?<!\bnot )(?<!n't )(?<!\bnever )(?<!\bno longer )"
+UNDER = r"(?<!\bnot (?:released|licensed|distributed|available) )(?<!n't (?:released|licensed|distributed|available) )under the (terms of the )?"
+PUBLISHED = r",? (as published by the free software foundation[,;] (either )?)?"
 #: Known licence sentences: identifier and pattern of the normalised sentence. Fixed values.
 SENTENCES = (
-    ("spdx_mit", SPDX + r"mit\b"),
-    ("spdx_apache2", SPDX + r"apache-2\.0"),
-    ("spdx_gpl2", SPDX + r"gpl-2\.0"),
-    ("spdx_gpl3", SPDX + r"gpl-3\.0"),
-    ("spdx_bsd3", SPDX + r"bsd-3-clause"),
-    ("spdx_bsd2", SPDX + r"bsd-2-clause"),
-    ("spdx_mpl2", SPDX + r"mpl-2\.0"),
-    ("spdx_isc", SPDX + r"isc\b"),
-    ("by_mit", r"(released|licensed|distributed|available) under (the )?(terms of )?" + LISTED + r"(mit|expat) licen[cs]e"),
-    ("by_apache2", r"licensed under (the terms of )?" + LISTED + r"apache licen[cs]e,? (version )?2\.0"),
+    ("spdx_mit", TAG + "mit" + ENDS),
+    ("spdx_mit0", TAG + "mit-0" + ENDS),
+    ("spdx_apache2", TAG + r"apache-2\.0" + ENDS),
+    ("spdx_gpl2", TAG + r"gpl-2\.0(-only)?" + ENDS),
+    ("spdx_gpl2_later", TAG + r"gpl-2\.0(-or-later|\+)" + ENDS),
+    ("spdx_gpl3", TAG + r"gpl-3\.0(-only)?" + ENDS),
+    ("spdx_gpl3_later", TAG + r"gpl-3\.0(-or-later|\+)" + ENDS),
+    ("spdx_agpl3", TAG + r"agpl-3\.0(-only|-or-later|\+)?" + ENDS),
+    ("spdx_lgpl", TAG + r"lgpl-(2\.0|2\.1|3\.0)(-only|-or-later|\+)?" + ENDS),
+    ("spdx_bsd3", TAG + "bsd-3-clause" + ENDS),
+    ("spdx_bsd2", TAG + "bsd-2-clause" + ENDS),
+    ("spdx_mpl2", TAG + r"mpl-2\.0" + ENDS),
+    ("spdx_isc", TAG + "isc" + ENDS),
+    ("spdx_unlicense", TAG + "unlicense" + ENDS),
+    ("spdx_cc0", TAG + r"cc0-1\.0" + ENDS),
+    ("spdx_bsl1", TAG + r"bsl-1\.0" + ENDS),
+    ("spdx_epl2", TAG + r"epl-2\.0" + ENDS),
+    ("title_apache2", r"apache licen[cs]e,? version 2\.0, january 2004"),
+    ("title_gpl2", r"gnu general public licen[cs]e,? version 2, june 1991"),
+    ("title_gpl3", r"gnu general public licen[cs]e,? version 3, 29 june 2007"),
+    ("title_agpl3", r"gnu affero general public licen[cs]e,? version 3, 19 november 2007"),
+    ("title_lgpl", r"gnu lesser general public licen[cs]e,? version (2\.1, february 1999|3, 29 june 2007)"),
+    ("title_mpl2", r"mozilla public licen[cs]e,? version 2\.0"),
+    ("title_bsl1", r"boost software licen[cs]e - version 1\.0"),
+    ("title_epl2", r"eclipse public licen[cs]e - v ?2\.0"),
+    ("by_mit", GRANTED + r"(released|licensed|distributed|available) under (the )?(terms of )?" + LISTED + r"(mit|expat) licen[cs]e"),
+    ("by_apache2", GRANTED + r"licensed under (the terms of )?" + LISTED + r"apache licen[cs]e,? (version )?2\.0"),
     ("apache_not", r"you may not use this file except in compliance with the licen[cs]e"),
     ("apache_copy", r"you may obtain a copy of the licen[cs]e at"),
     ("apache_unless", r"unless required by applicable law or agreed to in writing"),
     ("apache_see", r"see the licen[cs]e for the specific language governing permissions"),
-    ("by_gpl3", r"under the (terms of the )?gnu general public licen[cs]e,? (as published by the free software foundation[,;] (either )?)?version 3"),
-    ("by_gpl2", r"under the (terms of the )?gnu general public licen[cs]e,? (as published by the free software foundation[,;] (either )?)?version 2"),
-    ("by_agpl3", r"under the (terms of the )?gnu affero general public licen[cs]e"),
-    ("by_lgpl", r"under the (terms of the )?gnu (lesser|library) general public licen[cs]e"),
-    ("gpl_later", r"\bor \(?at your option\)? any later version"),
+    ("by_gpl3", UNDER + r"gnu general public licen[cs]e" + PUBLISHED + "version 3"),
+    ("by_gpl2", UNDER + r"gnu general public licen[cs]e" + PUBLISHED + "version 2"),
+    ("by_agpl3", UNDER + r"gnu affero general public licen[cs]e"),
+    ("by_lgpl", UNDER + r"gnu (lesser|library) general public licen[cs]e"),
+    ("gpl_later", r"\bor (\(?at your option\)?,? )?any later version"),
     ("gpl_hope", r"in the hope that it will be useful, but without any warranty"),
     ("gpl_received", r"you should have received a copy of the gnu (affero |lesser |library )?general public licen[cs]e"),
     ("by_mpl2", r"subject to the terms of the mozilla public licen[cs]e,? v\. ?2\.0"),
@@ -69,51 +92,66 @@ SENTENCES = (
     ("copyright", r"copyright (\(c\)|©|[0-9]{4})"),
 )
 
-#: Rules in order: licence and the identifiers it takes, in their order, others between. Fixed values.
+#: Identifiers that begin a notice of their own, by the start of their names.
+BEGINS = ("spdx_", "title_", "by_", "mit_grant", "isc_grant", "bsd_grant", "unlicense")
+#: Rules in order: licence, the identifiers it takes in their order, and one that must not
+#: follow. All stand in one notice: others may lie between, but none that begins another.
+#: Fixed values.
 RULES = (
-    ("MIT", ("spdx_mit",)),
-    ("MIT", ("by_mit",)),
-    ("MIT", ("mit_grant", "mit_notice")),
-    ("ISC", ("spdx_isc",)),
-    ("ISC", ("isc_grant", "as_is")),
-    ("Apache-2.0", ("spdx_apache2",)),
-    ("Apache-2.0", ("by_apache2",)),
-    ("Apache-2.0", ("apache_not", "apache_copy", "apache_unless")),
-    ("GPL-3.0-or-later", ("by_gpl3", "gpl_later")),
-    ("GPL-3.0", ("spdx_gpl3",)),
-    ("GPL-3.0", ("by_gpl3",)),
-    ("GPL-2.0-or-later", ("by_gpl2", "gpl_later")),
-    ("GPL-2.0", ("spdx_gpl2",)),
-    ("GPL-2.0", ("by_gpl2",)),
-    ("AGPL-3.0", ("by_agpl3",)),
-    ("LGPL", ("by_lgpl",)),
-    ("MPL-2.0", ("spdx_mpl2",)),
-    ("MPL-2.0", ("by_mpl2",)),
-    ("BSD-3-Clause", ("spdx_bsd3",)),
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
-    ("BSD-2-Clause", ("spdx_bsd2",)),
-    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
-    ("Unlicense", ("unlicense",)),
-    ("CC-BY-NC-SA", ("by_cc_by_nc_sa",)),
-    ("CC-BY-NC-ND", ("by_cc_by_nc_nd",)),
-    ("CC-BY-NC", ("by_cc_by_nc",)),
-    ("CC-BY-SA", ("by_cc_by_sa",)),
-    ("CC-BY-ND", ("by_cc_by_nd",)),
-    ("CC-BY", ("by_cc_by",)),
-    ("CC0-1.0", ("by_cc0",)),
+    ("MIT", ("spdx_mit",), None),
+    ("MIT", ("by_mit",), None),
+    ("MIT", ("mit_grant", "mit_notice"), None),
+    ("MIT-0", ("spdx_mit0",), None),
+    ("ISC", ("spdx_isc",), None),
+    ("ISC", ("isc_grant", "as_is"), None),
+    ("Apache-2.0", ("spdx_apache2",), None),
+    ("Apache-2.0", ("title_apache2",), None),
+    ("Apache-2.0", ("by_apache2",), None),
+    ("Apache-2.0", ("apache_not", "apache_copy", "apache_unless"), None),
+    ("GPL-3.0-or-later", ("spdx_gpl3_later",), None),
+    ("GPL-3.0-or-later", ("by_gpl3", "gpl_later"), None),
+    ("GPL-3.0", ("spdx_gpl3",), None),
+    ("GPL-3.0", ("title_gpl3",), None),
+    ("GPL-3.0", ("by_gpl3",), "gpl_later"),
+    ("GPL-2.0-or-later", ("spdx_gpl2_later",), None),
+    ("GPL-2.0-or-later", ("by_gpl2", "gpl_later"), None),
+    ("GPL-2.0", ("spdx_gpl2",), None),
+    ("GPL-2.0", ("title_gpl2",), None),
+    ("GPL-2.0", ("by_gpl2",), "gpl_later"),
+    ("AGPL-3.0", ("spdx_agpl3",), None),
+    ("AGPL-3.0", ("title_agpl3",), None),
+    ("AGPL-3.0", ("by_agpl3",), None),
+    ("LGPL", ("spdx_lgpl",), None),
+    ("LGPL", ("title_lgpl",), None),
+    ("LGPL", ("by_lgpl",), None),
+    ("MPL-2.0", ("spdx_mpl2",), None),
+    ("MPL-2.0", ("title_mpl2",), None),
+    ("MPL-2.0", ("by_mpl2",), None),
+    ("BSD-3-Clause", ("spdx_bsd3",), None),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"), None),
+    ("BSD-2-Clause", ("spdx_bsd2",), None),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary"), "bsd_endorse"),
+    ("Unlicense", ("spdx_unlicense",), None),
+    ("Unlicense", ("unlicense",), None),
+    ("BSL-1.0", ("spdx_bsl1",), None),
+    ("BSL-1.0", ("title_bsl1",), None),
+    ("EPL-2.0", ("spdx_epl2",), None),
+    ("EPL-2.0", ("title_epl2",), None),
+    ("CC-BY-NC-SA", ("by_cc_by_nc_sa",), None),
+    ("CC-BY-NC-ND", ("by_cc_by_nc_nd",), None),
+    ("CC-BY-NC", ("by_cc_by_nc",), None),
+    ("CC-BY-SA", ("by_cc_by_sa",), None),
+    ("CC-BY-ND", ("by_cc_by_nd",), None),
+    ("CC-BY", ("by_cc_by",), None),
+    ("CC0-1.0", ("spdx_cc0",), None),
+    ("CC0-1.0", ("by_cc0",), None),
 )
 
-#: A rule that holds takes these weaker ones with it.
-WEAKER = {
-    "GPL-3.0-or-later": ("GPL-3.0",),
-    "GPL-2.0-or-later": ("GPL-2.0",),
-    "BSD-3-Clause": ("BSD-2-Clause",),
-}
 COMMENT = r"(?m)^[ \t]*(//+|/\*+|\*+/?|#+|;+|--+|<!--|%+)[ \t]*"
 #: A sentence ends at a stop before white space, or at an empty line; not after the colon
-#: of an SPDX tag, after "v." before a number, nor at the ";" before the version of a GPL.
+#: of a tag, after "v." before a number, nor at the ";" before the version of a GPL.
 STOP = (
-    r"((?<!spdx-license-identifier):|(?!(?<=\bv)\.\s+[0-9])\.|[!?]|;(?!\s+(?:either\s+)?version\s+[0-9]))\s+"
+    r"((?<!spdx-license-identifier)(?<!\blicense)(?<!\blicence):|(?!(?<=\bv)\.\s+[0-9])\.|[!?]|;(?!\s+(?:either\s+)?version\s+[0-9]))\s+"
     r"|\n\s*\n"
 )
 BREAK = "\u0001"
@@ -147,20 +185,24 @@ def identifiers(spoken: Column) -> Column:
     return F.transform(spoken, known)
 
 
-def rule_pattern(ids: tuple[str, ...]) -> str:
+def rule_pattern(ids: tuple[str, ...], without: str | None = None) -> str:
     """The rule over a joined sequence ' id  id  id '.
 
-    Every identifier is taken where it first comes and not looked for again, so that
-    the time is linear in the length of the sequence.
+    It may match at any place. Between its identifiers stand others of the same notice
+    only, so that a search from one place ends where the next notice begins, and the
+    time is linear in the length of the sequence.
     """
-    return "^" + "".join(f"(?>.*? {i} )" for i in ids)
+    others = rf"(?: (?!{'|'.join(BEGINS)})\w+ )"
+    pattern = f" {ids[0]} " + "".join(rf"{others}*? {i} " for i in ids[1:])
+    return pattern + (rf"(?!{others}*? {without} )" if without else "")
 
 
 def licences(docs: DataFrame) -> DataFrame:
     """doc_id, sequence, licences, n_sentences and n_unknown of every row.
 
     ``sequence`` lists the identifiers of the sentences that speak of licensing, in
-    order; ``licences`` those whose rule it holds, in the order of the rules. Missing
+    order; ``licences`` those whose rule some notice of it holds, in the order of the
+    rules. A licence that a sentence denies is not one of them. Missing
     and empty texts, and texts that do not speak of licensing, have none of either.
     Rows are looked at one by one: repeated or missing ids need no care.
     """
@@ -169,19 +211,11 @@ def licences(docs: DataFrame) -> DataFrame:
     out = docs.select(docs["doc_id"].alias("doc_id"), identifiers(spoken).alias("_found"))
     out = out.withColumn("sequence", F.flatten("_found"))
     joined = F.concat(F.lit(" "), F.array_join("sequence", "  "), F.lit(" "))
-    held = {}
-    for name, ids in RULES:
-        match = F.col("_joined").rlike(rule_pattern(ids))
+    held: dict[str, Column] = {}
+    for name, ids, without in RULES:
+        match = F.col("_joined").rlike(rule_pattern(ids, without))
         held[name] = held[name] | match if name in held else match
-    stronger = {}
-    for name, weaker in WEAKER.items():
-        for w in weaker:
-            stronger.setdefault(w, []).append(name)
-    found = []
-    for name, match in held.items():
-        for s in stronger.get(name, []):
-            match = match & ~held[s]
-        found.append(F.when(match, F.lit(name)))
+    found = [F.when(match, F.lit(name)) for name, match in held.items()]
     return out.withColumn("_joined", joined).select(
         "doc_id",
         "sequence",
