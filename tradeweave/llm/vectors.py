@@ -5,7 +5,10 @@ to the cell of its nearest pivot; it is also sent to each further cell that, by
 triangle inequality, may hold a vector within reach. So all neighbours of a vector
 are in its own cell, cells join apart from each other, and every vector's links are
 counted there. Cells are cut into blocks, so that no task holds a cell, and blocks
-send on trees of links, not pairs.
+send on trees of links, not pairs. Two bounds keep vectors apart without comparing
+them: a vector is not sent across the plane between two pivots when it lies further
+than the reach from it, and inside a block, in order of distance to the pivot, only
+vectors whose distances differ by no more than the reach are multiplied.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from tradeweave.llm.graph import components
 from tradeweave.llm.scratch import Scratch
 
 COSINE = 0.93
-BLOCK = 2048
+BLOCK = 4096
+#: Asking vectors of a block, in order of distance, that are multiplied at once.
+STRIP = 512
 #: Vectors per cell aimed at, more when that would take more than MOST_PIVOTS.
 CELL = 4096
 MOST_PIVOTS = 4096
@@ -43,15 +48,30 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
+def _beyond(d: np.ndarray, own: np.ndarray, gaps: np.ndarray, reach: float) -> np.ndarray:
+    """Whether a vector is further than ``reach`` from the half space of each cell.
+
+    The half space of those nearer to a cell's pivot than to the own one ends at the
+    plane between the two. Pivots that nearly coincide decide nothing.
+    """
+    gap = gaps[own]
+    nearest = d[np.arange(len(own)), own][:, None]
+    return (gap > 1e-3) & (d * d - nearest * nearest > 2 * reach * gap)
+
+
 def _assign(pivots: dict[tuple[int, int], np.ndarray], reach: float, radius: dict | None):
-    """Cells of vectors: the own one only, or with ``radius`` all that may hold neighbours."""
+    """Cells of vectors: the own one only, or with ``radius`` all that may hold neighbours.
+
+    With them goes the distance to the cell's pivot, 0 where a label has no pivots.
+    """
+    gaps = {key: _distances(p, p) for key, p in pivots.items()} if radius is not None else {}
 
     def assign(batches):
         for batch in batches:
             labels, sizes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             cell = np.full(batch.num_rows, 0, np.int32)
             far = np.zeros(batch.num_rows)
-            rows, cells = [], []
+            rows, cells, fars = [], [], []
             for key in {*zip(labels.tolist(), sizes.tolist(), strict=True)} & pivots.keys():
                 these = np.flatnonzero((labels == key[0]) & (sizes == key[1]))
                 d = _distances(_unit(batch.column(4).take(pa.array(these))), pivots[key])
@@ -60,25 +80,42 @@ def _assign(pivots: dict[tuple[int, int], np.ndarray], reach: float, radius: dic
                 if radius is not None:
                     limit = np.array([radius.get((*key, c), -9.0) for c in range(len(pivots[key]))])
                     near = (d <= limit[None, :] + reach) & (d - far[these][:, None] <= 2 * reach)
+                    near &= ~_beyond(d, own, gaps[key], reach)
                     near[np.arange(len(own)), own] = False
                     i, c = np.nonzero(near)
                     rows.append(these[i])
                     cells.append(c)
+                    fars.append(d[i, c])
             base = pa.Table.from_batches([batch])
             if radius is None:
                 out = base.append_column("cell", pa.array(cell)).append_column("far", pa.array(far))
             else:
                 more = np.concatenate(rows) if rows else np.zeros(0, np.int64)
                 other = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+                away = np.concatenate([far, *fars])
                 take = np.concatenate([np.arange(len(cell)), more])
                 out = base.take(pa.array(take)).append_column("cell", pa.array(np.concatenate([cell, other]).astype(np.int32)))
+                out = out.append_column("far", pa.array(away))
                 out = out.append_column("own", pa.array([True] * len(cell) + [False] * len(more)))
             yield from out.to_batches()
 
     return assign
 
 
-def _compare(least: float):
+def _strips(far: np.ndarray, others: np.ndarray, reach: float):
+    """Strips of asking vectors, each with the range of others within reach of it.
+
+    Both sides are distances to one pivot, in order. Vectors whose distances differ by
+    more than ``reach`` cannot be within it.
+    """
+    for start in range(0, len(far), STRIP):
+        end = min(start + STRIP, len(far))
+        low = int(np.searchsorted(others, far[start] - reach, "left"))
+        high = int(np.searchsorted(others, far[end - 1] + reach, "right"))
+        yield slice(start, end), slice(low, high)
+
+
+def _compare(least: float, reach: float):
     """Links between the own vectors of one block and the vectors of another."""
 
     def compare(table: pa.Table) -> pa.Table:
@@ -90,8 +127,14 @@ def _compare(least: float):
         if not (np.isfinite(norm).all() and norm.all()):
             raw = _unit(column)
             norm = np.ones(len(node))
-        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        linked = (raw[q] @ raw[c].T) / (norm[q][:, None] * norm[c][None, :]) >= least
+        far = table.column("far").to_numpy()
+        order = np.argsort(far, kind="stable")
+        q, c = order[asks[order]], order[~asks[order]]
+        linked = np.zeros((len(q), len(c)), bool)
+        others, other_norm = raw[c], norm[c]
+        for strip, near in _strips(far[q], far[c], reach):
+            products = raw[q[strip]] @ others[near].T
+            linked[strip, near] = products / (norm[q[strip]][:, None] * other_norm[None, near]) >= least
         linked &= node[q][:, None] != node[c][None, :]
         count = linked @ weight[c]
         root = np.full(len(q), -1, np.int64)
@@ -168,7 +211,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch |
         own = distinct.mapInArrow(_assign(pivots, reach, None), f"{kind}, cell int, far double")
         for r in own.groupBy("label", "size", "cell").agg(F.max("far").alias("r")).collect():  # a row per pivot
             radius[(r["label"], r["size"], r["cell"])] = r["r"]
-    sent = scratch.table(distinct.mapInArrow(_assign(pivots, reach, radius), f"{kind}, cell int, own boolean"), "cells")
+    sent = scratch.table(distinct.mapInArrow(_assign(pivots, reach, radius), f"{kind}, cell int, far double, own boolean"), "cells")
     keys = ["label", "size", "cell"]
     blocks = sent.groupBy(*keys).agg(
         F.ceil(F.sum(F.col("own").cast("long")) / BLOCK).cast("int").alias("asking"),
@@ -176,17 +219,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch |
     )
     placed = sent.join(blocks, keys)
     ask = placed.where("own").select(
-        *keys, "node", "weight", "embedding", F.lit(True).alias("asks"),
+        *keys, "node", "weight", "embedding", "far", F.lit(True).alias("asks"),
         F.pmod(F.xxhash64("node"), "asking").cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("cb"),
     )
     asked = placed.where("asking > 0").select(
-        *keys, "node", "weight", "embedding", F.lit(False).alias("asks"),
+        *keys, "node", "weight", "embedding", "far", F.lit(False).alias("asks"),
         F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("qb"),
         F.pmod(F.xxhash64("node"), "asked").cast("int").alias("cb"),
     )
     found = scratch.table(
-        ask.unionByName(asked).groupBy(*keys, "qb", "cb").applyInArrow(_compare(cosine), "a long, b long, n long"), "found"
+        ask.unionByName(asked).groupBy(*keys, "qb", "cb").applyInArrow(_compare(cosine, reach), "a long, b long, n long"), "found"
     )
     counts = found.where("n > 0").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_n"))
     roots = components(found.where("a != b").select("a", "b"), scratch)
