@@ -70,17 +70,36 @@ def _year(date: str) -> Column:
     return (F.lit(1995) + 4 * (F.year(date) - 1995) + F.quarter(date) - 1).cast("int")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with everything the trade tables need."""
-    lineitem, orders = base(spark, sf_dir, "lineitem"), base(spark, sf_dir, "orders")
-    customer, supplier, part = (base(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
-    joined = (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's nation and what an order says about its line items."""
+    status, date = F.col("o_orderstatus"), F.col("o_orderdate")
+    return (
+        base(spark, sf_dir, "orders")
+        .join(base(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .select(
+            _year("o_orderdate").alias("year"),
+            ((status == "P") | (F.year(date) == 1998)).alias("doubtful"),
+            "c_nationkey",
+            _choose(
+                F.col("o_orderpriority"), F.lit("HS17"),
+                HS96="1-URGENT", HS02="2-HIGH", HS07="3-MEDIUM", HS12="4-NOT SPECIFIED",
+            ).alias("hs_version"),
+            _choose(status, F.lit("error"), domestic="O", foreign="F").alias("dom_source"),
+            "o_orderkey",
+        )
     )
-    size, status, number = F.col("p_size"), F.col("o_orderstatus"), F.col("l_linenumber")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item with everything the trade tables need.
+
+    None of the tables is small when the data are large, so every join may shuffle.
+    Customers meet the orders, which are fewer than their line items; line items are
+    shuffled for their order, supplier and part only, as flags, numbers and fixed-point
+    weights side by side, few values first, which compress well. Text is written out
+    after the last join.
+    """
+    size, number = F.col("p_size"), F.col("l_linenumber")
     hs6 = (
         F.when(size == 1, 30110)
         .when(size == 2, 30111)
@@ -90,24 +109,49 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size > 40, 160400 + size)
         .otherwise(30200 + size)
     )
-    unknown = (number == 7) & ((status == "P") | (F.year("o_orderdate") == 1998))
-    return joined.select(
-        (F.col("l_orderkey") * 10 + number).alias("record_id"),
-        _year("o_orderdate").alias("year"),
-        _choose(
-            F.col("o_orderpriority"), F.lit("HS17"),
-            HS96="1-URGENT", HS02="2-HIGH", HS07="3-MEDIUM", HS12="4-NOT SPECIFIED",
-        ).alias("hs_version"),
-        hs6.cast("int").alias("hs6"),
+    items = base(spark, sf_dir, "lineitem").select(
+        number.alias("linenumber"),
+        (F.col("l_linestatus") == "O").alias("marine"),
+        (F.col("l_returnflag") == "A").alias("farmed"),
+        F.when(F.col("l_quantity") != 50, F.col("l_quantity")).cast(WEIGHT).alias("product_weight_t"),
+        F.when(F.col("l_quantity") == 1, F.lit(0.05)).otherwise(F.col("l_extendedprice")).cast(WEIGHT).alias("live_weight_t"),
+        "l_suppkey",
+        "l_partkey",
+        "l_orderkey",
+    )
+    ordered = items.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "linenumber",
+        "marine",
+        "farmed",
+        ((F.col("linenumber") == 7) & F.col("doubtful")).alias("unknown"),
+        "year",
+        "hs_version",
+        "dom_source",
+        "c_nationkey",
+        "product_weight_t",
+        "live_weight_t",
+        "l_suppkey",
+        "l_partkey",
+        (F.col("l_orderkey") * 10 + F.col("linenumber")).alias("record_id"),
+    )
+    supplied = ordered.join(base(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).drop(
+        "l_suppkey", "s_suppkey"
+    )
+    part = base(spark, sf_dir, "part").select("p_partkey", hs6.cast("int").alias("hs6"), F.col("p_name").alias("sciname"))
+    return supplied.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "record_id",
+        "year",
+        "hs_version",
+        "hs6",
         code("s_nationkey").alias("exporter_iso3c"),
         code("c_nationkey").alias("importer_iso3c"),
-        F.col("p_name").alias("sciname"),
-        F.when(unknown, "unknown").when(F.col("l_linestatus") == "O", "marine").otherwise("inland").alias("habitat"),
-        F.when(unknown, "unknown").when(F.col("l_returnflag") == "A", "aquaculture").otherwise("capture").alias("method"),
-        _choose(status, F.lit("error"), domestic="O", foreign="F").alias("dom_source"),
-        F.when(F.col("l_quantity") == 1, F.lit(0.05)).otherwise(F.col("l_extendedprice")).cast(WEIGHT).alias("live_weight_t"),
-        F.when(F.col("l_quantity") != 50, F.col("l_quantity")).cast(WEIGHT).alias("product_weight_t"),
-        number.alias("linenumber"),
+        "sciname",
+        F.when(F.col("unknown"), "unknown").when(F.col("marine"), "marine").otherwise("inland").alias("habitat"),
+        F.when(F.col("unknown"), "unknown").when(F.col("farmed"), "aquaculture").otherwise("capture").alias("method"),
+        "dom_source",
+        "live_weight_t",
+        "product_weight_t",
+        "linenumber",
     )
 
 
