@@ -35,6 +35,8 @@ COUNTRY_SPELLINGS = (
 LDC_CODES = ("N00", "N03", "N05", "N08", "N10", "N13")
 CENTROID_OVERRIDES = {"N07": (172.9717, 1.4518)}
 WEIGHT = "decimal(18,2)"
+# What a line item says about its source, as bits of one number.
+FLAGS = {"MARINE": 1, "FARMED": 2, "SEVENTH": 4, "UNKNOWN": 8}
 
 
 # Columns in use, declared so that no job has to look at the files first.
@@ -70,75 +72,101 @@ def _year(date: str) -> Column:
     return (F.lit(1995) + 4 * (F.year(date) - 1995) + F.quarter(date) - 1).cast("int")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer's nation and what an order says about its line items."""
-    status, date = F.col("o_orderstatus"), F.col("o_orderdate")
-    return (
-        base(spark, sf_dir, "orders")
-        .join(base(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            _year("o_orderdate").alias("year"),
-            ((status == "P") | (F.year(date) == 1998)).alias("doubtful"),
-            "c_nationkey",
-            _choose(
-                F.col("o_orderpriority"), F.lit("HS17"),
-                HS96="1-URGENT", HS02="2-HIGH", HS07="3-MEDIUM", HS12="4-NOT SPECIFIED",
-            ).alias("hs_version"),
-            _choose(status, F.lit("error"), domestic="O", foreign="F").alias("dom_source"),
-            "o_orderkey",
-        )
-    )
+def _flags(**conditions: Column) -> Column:
+    """The named flags whose condition holds, as one number: side by side they take more room in a shuffle."""
+    return sum((F.when(c, F.lit(FLAGS[name])).otherwise(F.lit(0)) for name, c in conditions.items()), F.lit(0))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with everything the trade tables need.
+def _has(flag: str) -> Column:
+    return F.col("kind").bitwiseAND(F.lit(FLAGS[flag])) != 0
 
-    None of the tables is small when the data are large, so every join may shuffle.
-    Customers meet the orders, which are fewer than their line items; line items are
-    shuffled for their order, supplier and part only, as flags, numbers and fixed-point
-    weights side by side, few values first, which compress well. Text is written out
-    after the last join.
-    """
-    size, number = F.col("p_size"), F.col("l_linenumber")
-    hs6 = (
-        F.when(size == 1, 30110)
-        .when(size == 2, 30111)
-        .when(size == 3, 30119)
-        .when(size <= 6, 230120)
-        .when(size == 50, F.lit(None))
-        .when(size > 40, 160400 + size)
-        .otherwise(30200 + size)
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's nation and what an order says about its line items."""
+    status, date = F.col("o_orderstatus"), F.col("o_orderdate")
+    orders = base(spark, sf_dir, "orders").select(
+        _year("o_orderdate").alias("year"),
+        ((status == "P") | (F.year(date) == 1998)).alias("doubtful"),
+        _choose(
+            F.col("o_orderpriority"), F.lit("HS17"),
+            HS96="1-URGENT", HS02="2-HIGH", HS07="3-MEDIUM", HS12="4-NOT SPECIFIED",
+        ).alias("hs_version"),
+        _choose(status, F.lit("error"), domestic="O", foreign="F").alias("dom_source"),
+        "o_custkey",
+        "o_orderkey",
     )
-    items = base(spark, sf_dir, "lineitem").select(
+    customer = base(spark, sf_dir, "customer")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as flags, numbers and fixed-point weights."""
+    number = F.col("l_linenumber")
+    product = F.when(F.col("l_quantity") != 50, F.col("l_quantity")).cast(WEIGHT)
+    live = F.when(F.col("l_quantity") == 1, F.lit(0.05)).otherwise(F.col("l_extendedprice")).cast(WEIGHT)
+    return base(spark, sf_dir, "lineitem").select(
+        _flags(MARINE=F.col("l_linestatus") == "O", FARMED=F.col("l_returnflag") == "A", SEVENTH=number == 7).alias("kind"),
+        (live.isNotNull() & product.isNotNull()).alias("weighed"),
         number.alias("linenumber"),
-        (F.col("l_linestatus") == "O").alias("marine"),
-        (F.col("l_returnflag") == "A").alias("farmed"),
-        F.when(F.col("l_quantity") != 50, F.col("l_quantity")).cast(WEIGHT).alias("product_weight_t"),
-        F.when(F.col("l_quantity") == 1, F.lit(0.05)).otherwise(F.col("l_extendedprice")).cast(WEIGHT).alias("live_weight_t"),
+        product.alias("product_weight_t"),
+        live.alias("live_weight_t"),
         "l_suppkey",
         "l_partkey",
         "l_orderkey",
     )
-    ordered = items.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "linenumber",
-        "marine",
-        "farmed",
-        ((F.col("linenumber") == 7) & F.col("doubtful")).alias("unknown"),
+
+
+def _with_orders(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    joined = lines.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(
+        F.when(_has("SEVENTH") & F.col("doubtful"), F.lit(FLAGS["UNKNOWN"])).otherwise(F.col("kind")).alias("kind"),
         "year",
         "hs_version",
         "dom_source",
         "c_nationkey",
-        "product_weight_t",
-        "live_weight_t",
-        "l_suppkey",
-        "l_partkey",
+        *[c for c in lines.columns if c not in ("kind", "l_orderkey")],
         (F.col("l_orderkey") * 10 + F.col("linenumber")).alias("record_id"),
     )
-    supplied = ordered.join(base(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).drop(
-        "l_suppkey", "s_suppkey"
+
+
+def _with_suppliers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    joined = lines.join(base(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select("s_nationkey", *[c for c in lines.columns if c != "l_suppkey"])
+
+
+def _with_parts(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    size = F.col("p_size")
+    hs6 = (
+        F.when(size == 1, 30110)
+        .when(size == 2, 30111)
+        .when(size == 3, 30119)
+        .when(size <= 6, 230120)
+        .when(size == 50, F.lit(None))
+        .when(size > 40, 160400 + size)
+        .otherwise(30200 + size)
     )
     part = base(spark, sf_dir, "part").select("p_partkey", hs6.cast("int").alias("hs6"), F.col("p_name").alias("sciname"))
-    return supplied.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select("hs6", *[c for c in lines.columns if c != "l_partkey"], "sciname")
+
+
+def _lines(spark: SparkSession, sf_dir: str, orders_last: bool = False) -> DataFrame:
+    """One row per line item with everything the trade tables need.
+
+    None of the tables is small when the data are large, so every join may shuffle.
+    Customers meet the orders, which are fewer than their line items; line items are
+    shuffled for their order, supplier and part only, as flags, numbers and fixed-point
+    weights side by side, few values first, which compress well. Text is written out
+    after the last join.
+
+    A join's columns go through the shuffles after it. Names of parts are the widest, so
+    parts come last; with ``orders_last``, for uses without names, orders do.
+    """
+    steps = [_with_orders, _with_suppliers, _with_parts]
+    lines = _items(spark, sf_dir)
+    for step in [*steps[1:], steps[0]] if orders_last else steps:
+        lines = step(spark, sf_dir, lines)
+    return lines.select(
         "record_id",
         "year",
         "hs_version",
@@ -146,12 +174,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         code("s_nationkey").alias("exporter_iso3c"),
         code("c_nationkey").alias("importer_iso3c"),
         "sciname",
-        F.when(F.col("unknown"), "unknown").when(F.col("marine"), "marine").otherwise("inland").alias("habitat"),
-        F.when(F.col("unknown"), "unknown").when(F.col("farmed"), "aquaculture").otherwise("capture").alias("method"),
+        F.when(_has("UNKNOWN"), "unknown").when(_has("MARINE"), "marine").otherwise("inland").alias("habitat"),
+        F.when(_has("UNKNOWN"), "unknown").when(_has("FARMED"), "aquaculture").otherwise("capture").alias("method"),
         "dom_source",
         "live_weight_t",
         "product_weight_t",
         "linenumber",
+        "weighed",
     )
 
 
@@ -212,13 +241,20 @@ class FixtureTables:
 
     @cached_property
     def snet(self) -> DataFrame:
-        return self._lines.drop("linenumber")
+        return self._lines.drop("linenumber", "weighed")
 
     @cached_property
     def production(self) -> DataFrame:
         iso3c = F.col("exporter_iso3c").alias("iso3c")
         return self._lines.select("record_id", iso3c, "year", "sciname", "method", "habitat", "live_weight_t")
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """The rows of ``snet`` and of ``production``, which are the same records here, for
+        uses that take both: without names, and with ``weighed``, whether both weights
+        are present, in place of the product weight."""
+        return _lines(*self._at, orders_last=True).drop("sciname", "linenumber", "product_weight_t")
+
     @cached_property
     def countries(self) -> DataFrame:
         return _countries(*self._at)
