@@ -36,6 +36,8 @@ TRADE_KEYS = (
 CONSUMPTION_KEYS = ("year", "consumer_iso3c", "source_country_iso3c", "habitat", "method", "consumption_source")
 SPECIES_KEYS = ("year", "consumer_iso3c", "source_country_iso3c", "habitat", "method", "sciname_hs_modified")
 PRODUCTION_KEYS = ("year", "iso3c", "sciname", "method", "habitat")
+# Grain of trade and production together: no countries and no species.
+SOURCE_KEYS = ("year", "habitat", "method", "dom_source")
 
 #: Keeps a table that several plans share: (table, name, partition columns) -> table.
 Keep = Callable[[DataFrame, str, Sequence[str]], DataFrame]
@@ -73,6 +75,7 @@ class Study:
     edge_table: DataFrame | None = None
     production_cube: DataFrame | None = None
     source_production: DataFrame | None = None
+    source_trade: DataFrame | None = None
     consumption_cube: DataFrame | None = None
     species_cube: DataFrame | None = None
     supply_table: DataFrame | None = None
@@ -97,6 +100,22 @@ class Study:
         detail, sources = (kept.where(F.col("grain") == g).drop("grain") for g in ("detail", "sources"))
         return replace(self, production_cube=detail, source_production=sources.drop("iso3c", "sciname"))
 
+    def with_shared_sources(self, keep: Keep = in_plan) -> Study:
+        """Trade and production by source from one pass, for datasets that take both.
+
+        Only where the tables say that both are the same records, and nothing of them
+        is shared yet; else the study as it is.
+        """
+        if getattr(self.tables, "records", None) is None or self.trade_cube is not None or self.source_production is not None:
+            return self
+        kept = keep(source_grains(self), "sources", [])
+        produced = kept.groupBy("year", "method", "habitat").agg(F.sum("production_t").alias("production_t"))
+        category = habitat_method("habitat", "method").alias("habitat_method")
+        traded = kept.where("is_food").select(
+            "year", F.col("habitat").alias("environment"), "method", category, "dom_source", "live_weight_t"
+        )
+        return replace(self, source_production=produced, source_trade=traded)
+
     def with_shared_consumption(self, keep: Keep = materialise) -> Study:
         kept = keep(consumption_grains(self), "consumption", [])
         weights = ("consumption_live_t", "n_missing")
@@ -116,6 +135,10 @@ class Study:
         """Food trade with its source category, without regions."""
         return food_trade(self) if self.trade_cube is None else self.trade_cube
 
+    def trade_by_source(self) -> DataFrame:
+        """Food trade for sums that take no countries."""
+        return self.trade() if self.source_trade is None else self.source_trade
+
     def trade_with_regions(self) -> DataFrame:
         return add_regions(self.trade(), self.tables.countries)
 
@@ -217,6 +240,22 @@ def add_regions(df: DataFrame, countries: DataFrame) -> DataFrame:
     return lookup(df, countries, {"importer_iso3c": "iso3c"}, {"importer_region": "owid_region"}, unique="countries")
 
 
+def marked_trade(study: Study, rows: DataFrame, weighed: Column) -> DataFrame:
+    """All rows, with whether they are food trade (``is_food``) or fishmeal (``is_fishmeal``);
+    ``weighed`` says whether both weights are present."""
+    counts = in_regime("hs_version", "year")
+    if study.regimes is not None:
+        rows, counts = in_regime_table(rows, study.regimes, study.regime, mark="_counts"), F.col("_counts")
+    usable = F.coalesce(counts, F.lit(False)) & weighed
+    heavy = F.col("live_weight_t") >= d.MIN_WEIGHT_T
+    return rows.withColumns(
+        {
+            "is_food": usable & heavy & is_not_true(code_in(rows, d.NONFOOD_CODES)),
+            "is_fishmeal": usable & F.coalesce(code_in(rows, [d.FISHMEAL_CODE]), F.lit(False)),
+        }
+    )
+
+
 def trade_grains(study: Study) -> DataFrame:
     """What the datasets take from trade, from one pass over it.
 
@@ -226,16 +265,10 @@ def trade_grains(study: Study) -> DataFrame:
     product weight of all rows and the weights of fishmeal, which has no minimum. So
     one grouping holds both grains, and no row is counted twice on the way.
     """
-    rows, counts = study.tables.snet, in_regime("hs_version", "year")
-    if study.regimes is not None:
-        rows, counts = in_regime_table(rows, study.regimes, study.regime, mark="_counts"), F.col("_counts")
     both = F.col("live_weight_t").isNotNull() & F.col("product_weight_t").isNotNull()
-    usable = F.coalesce(counts, F.lit(False)) & both
-    heavy = F.col("live_weight_t") >= d.MIN_WEIGHT_T
+    rows = marked_trade(study, study.tables.snet, both)
     rows = rows.withColumns(
         {
-            "is_food": usable & heavy & is_not_true(code_in(rows, d.NONFOOD_CODES)),
-            "is_fishmeal": usable & F.coalesce(code_in(rows, [d.FISHMEAL_CODE]), F.lit(False)),
             "environment": F.col("habitat"),
             "habitat_method": habitat_method("habitat", "method"),
             "food_or_fmfo": food_or_fmfo(code_in(rows, [d.FISHMEAL_CODE])),
@@ -253,6 +286,19 @@ def trade_grains(study: Study) -> DataFrame:
     )
 
 
+def source_grains(study: Study) -> DataFrame:
+    """Food trade and production by SOURCE_KEYS, from one pass over records that are both.
+
+    Every record counts as production. Those that are food trade as well are groups of
+    their own, which ``is_food`` tells apart.
+    """
+    rows = marked_trade(study, study.tables.records, F.col("weighed"))
+    return rows.groupBy(*SOURCE_KEYS, "is_food").agg(
+        F.sum(F.when(F.col("is_food"), F.col("live_weight_t"))).alias("live_weight_t"),
+        narm_sum("live_weight_t").alias("production_t"),
+    )
+
+
 # -- production ----------------------------------------------------------------
 
 

@@ -105,11 +105,12 @@ def export_shares(s: Study, sources: Sequence[str] = ()) -> DataFrame:
     of domestic production exported of each of the given categories.
 
     ``domestic_production`` is missing in years with an unmatched category. All comes
-    from one pass over trade and one over production: everything after the first sums
-    is a few rows per year.
+    from one pass over trade and one over production, or one over both: everything
+    after the first sums is a few rows per year.
     """
+    s = s.with_shared_sources()
     domestic = F.when(F.col("dom_source") == "domestic", F.col(WEIGHT))
-    exports = s.trade().groupBy("year", "habitat_method", "environment").agg(
+    exports = s.trade_by_source().groupBy("year", "habitat_method", "environment").agg(
         F.sum(domestic).alias("domestic"), strict_sum(WEIGHT).alias("everything")
     )
     exports = group_total(exports, ["year"], "everything", "everything_year")
