@@ -109,6 +109,9 @@ def test_line_items_are_not_shuffled_by_customer(spark, name):
 ONE_PASS = [
     "percent_export_total",
     "union_tagged",
+    "percent_export_by_source",
+    "round_digits",
+    "join_production_share",
 ]
 
 

@@ -79,7 +79,7 @@ def prod_by_source(s: Study) -> DataFrame:
 
 def dom_export_by_source(s: Study) -> DataFrame:
     return (
-        s.trade()
+        s.trade_by_source()
         .where(F.col("dom_source") == "domestic")
         .groupBy("year", "habitat_method", "environment")
         .agg(strict_sum(WEIGHT).alias("dom_live_weight_t"))
@@ -87,6 +87,7 @@ def dom_export_by_source(s: Study) -> DataFrame:
 
 
 def _domestic_with_production(s: Study) -> DataFrame:
+    s = s.with_shared_sources()
     return lookup(
         dom_export_by_source(s),
         prod_by_source(s),
