@@ -342,7 +342,8 @@ def join_production_share(s):
 
 @operator
 def join_production_year(s):
-    exported = s.trade().groupBy("year").agg(strict_sum(WEIGHT).alias(WEIGHT))
+    s = s.with_shared_sources()
+    exported = s.trade_by_source().groupBy("year").agg(strict_sum(WEIGHT).alias(WEIGHT))
     produced = trade.prod_by_source(s).groupBy("year").agg(strict_sum("production_t").alias("production_t"))
     return joins.lookup(exported, produced, {"year": "year"}, {"production_t": "production_t"})
 
